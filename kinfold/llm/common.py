@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +78,77 @@ def slices(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Buckets(dict):
+    """Word to bucket of a fixed number, by hash; `terms` have places of their own after the buckets."""
+
+    def __init__(self, size: int, terms: Sequence[str] = ()):
+        self.size, self.terms = size, terms
+        super().__init__()
+        self._seed()
+
+    def _seed(self) -> None:
+        self.clear()
+        self.update({t: self.size + i for i, t in enumerate(self.terms)})
+
+    def __missing__(self, word: str) -> int:
+        b = self[word] = xxhash.xxh3_64_intdigest(word) & (self.size - 1)
+        return b
+
+    def tokens(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' buckets in order and the number of words of each text."""
+        if len(self) > 400_000 + len(self.terms):
+            self._seed()
+        found = [WORD.findall(t.lower()) for t in texts]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int32, int(n.sum())), n
+
+
+BUCKETS = 1 << 18
+
+
+def bucket_frequencies(docs: DataFrame, text: str, size: int = BUCKETS) -> tuple[np.ndarray, int]:
+    """Of how many texts each word bucket has a word, over the whole table, and how many texts there are.
+
+    Each task sends one array of fixed size, compressed; they are added up in groups, so neither
+    the driver nor a task holds more than a few such arrays, whatever the table's size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, rows = Buckets(size), np.zeros(size, np.int64), 0
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, j in slices([len(t) for t in texts], 2_000_000):
+                at, n = known.tokens(texts[i:j])
+                own = np.repeat(np.arange(j - i, dtype=np.int64) * size, n)
+                total += np.bincount(np.unique(own + at) & (size - 1), minlength=size)
+            rows += len(texts)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["n", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for c in t.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+        return pa.table({"n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    parts = pick(docs, text=text).where("text IS NOT NULL").mapInArrow(count, "n bigint, counts binary")
+    sums = parts.groupBy(F.expr("spark_partition_id() % 8").alias("g")).applyInArrow(add, "n bigint, counts binary").collect()
+    total = np.zeros(size, np.int64)
+    for r in sums:
+        total += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return total, sum(r["n"] for r in sums)
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 1
+
+
+def free_name(names: Sequence[str], wanted: str) -> str:
+    """`wanted`, or with a number after it the first name that no column has."""
+    taken, name, k = {n.lower() for n in names}, wanted, 0
+    while name.lower() in taken:
+        k += 1
+        name = f"{wanted}_{k}"
+    return name

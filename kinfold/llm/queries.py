@@ -6,9 +6,15 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinfold.llm import toxicity as tox
+from kinfold.llm import url_filter
 from kinfold.llm.common import table
+from kinfold.llm.decontaminate import Decontaminator, leaks
 from kinfold.llm.exact_dedup import exact_dedup
+from kinfold.llm.hmm import lm_scores
+from kinfold.llm.licenses import license_scan
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.near_dedup import near_groups
 from kinfold.llm.pieces import segment
@@ -19,14 +25,49 @@ TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Host words that label a URL bad. The labels table says nothing about URLs: its rates are alike for all hosts.
+SEED_WORDS = r"(^|[.-])(adult|porn|xxx|sex|casino|poker|bets?|slots|pills|pharma|viagra|spam|ads|adserver|tracker|malware|warez)([.-]|$)"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leaks(docs, Decontaminator(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.tiktoken")
 
 
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, bad: the pages' URLs labelled by the seed words of their hosts."""
+    pages = table(spark, sf_dir, "pages").select("url")
+    return pages.select("url", url_filter.host_of(F.col("url")).rlike(SEED_WORDS).cast("int").alias("bad"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_scores(pages, url_filter.train(labelled_urls(spark, sf_dir)))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), n_chars="n_chars")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tox.toxicity(docs, tox.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
 
@@ -41,8 +82,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(tokenizers: str = TOKENIZERS) -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_token_counts": partial(op3_token_counts, tokenizers=tokenizers),
+        "op4_url_filter": op4_url_filter,
         "op5_line_dedup": op5_line_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_license_scan": op7_license_scan,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_sentencepiece": partial(op9_sentencepiece, tokenizers=tokenizers),
         "op10_exact_dedup": op10_exact_dedup,

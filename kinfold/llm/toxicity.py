@@ -75,6 +75,36 @@ class BlockMaxIndex:
         return place, cos
 
 
+PREFIXES = range(3, 9)
+
+
+def terms_of(word: str) -> list[str]:
+    """The word and its proper prefixes of 3 to 8 letters (marked with ~): inflected and compounded
+    forms share them."""
+    return [word, *[word[:k] + "~" for k in PREFIXES if len(word) > k]]
+
+
+class Lexicon(dict):
+    """Word to the places of the lexicon's terms that it has, remembered as words come."""
+
+    def __init__(self, terms: Sequence[str]):
+        super().__init__()
+        self.place = {t: i for i, t in enumerate(terms)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 400_000:
+            self.clear()
+        got = self[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+        return got
+
+    def __reduce__(self) -> tuple:
+        return Lexicon, (list(self.place),)
+
+    def counts(self, text: str) -> Counter[int]:
+        """How often the text has each term."""
+        return Counter(p for places in map(self.__getitem__, WORD.findall(text.lower())) if places for p in places)
+
+
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pools adjacent violators: (least x of each pool, its mean of y)."""
     order = np.argsort(x, kind="stable")
@@ -94,7 +124,7 @@ class ToxicityModel:
 
     def __init__(self, lexicon: list[str], weights: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int):
         self.lexicon, self.weights, self.k = lexicon, weights, k
-        self.place = {t: i for i, t in enumerate(lexicon)}
+        self.words = Lexicon(lexicon)
         labels = labels.astype(np.float64)
         self.index = BlockMaxIndex(np.log1p(counts) * weights, ids, labels)
         blank = (counts == 0).all(axis=1) if len(counts) else np.empty(0, bool)
@@ -134,9 +164,7 @@ class ToxicityModel:
         return got
 
     def key(self, text: str) -> tuple:
-        place = self.place
-        c = Counter(w for w in WORD.findall(text.lower()) if w in place)
-        return tuple(sorted((place[w], n) for w, n in c.items()))
+        return tuple(sorted(self.words.counts(text).items()))
 
     def score(self, text: str) -> float:
         """Calibrated chance that the text is toxic; the base rate where it has no term of the lexicon."""
@@ -170,13 +198,13 @@ def _group(ws: list[str]) -> int:
 
 def lexicon_counts(docs: DataFrame, lexicon: Sequence[str], text: str = "text") -> tuple[np.ndarray, int]:
     """Of how many texts of the whole table has each term, and how many texts there are."""
-    place = {t: i for i, t in enumerate(lexicon)}
+    known = Lexicon(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(place) + 1, np.int64), 0
+        total, n = np.zeros(len(lexicon) + 1, np.int64), 0
         for b in batches:
             for t in b.column("text").to_pylist():
-                for w in {place[w] for w in WORD.findall(t.lower()) if w in place}:
+                for w in known.counts(t):
                     total[w] += 1
                 n += 1
         total[-1] = n
@@ -184,7 +212,7 @@ def lexicon_counts(docs: DataFrame, lexicon: Sequence[str], text: str = "text")
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
     rows = pick(docs, text=text).where("text IS NOT NULL").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(place) + 1, np.int64)
+    out = np.zeros(len(lexicon) + 1, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
     return out[:-1], int(out[-1])
@@ -194,8 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """The model from labelled rows.
 
     Examples are at most `per_class` labelled rows of each class, the lowest by hash of their id:
-    the documented bound of the training sample. Near copies among them count once. A term is in
-    the lexicon if its presence tells the classes apart, by chi-square at `doubt` over the number
+    the documented bound of the training sample. Near copies among them count once. A term (a word
+    or a prefix) is in the lexicon if its presence tells the classes apart, by chi-square at `doubt` over the number
     of terms tried. Document frequencies for TF-IDF are over the whole table. Labels or ids that
     are NULL, and labelled ids without a text, are left out; a row with two labels is toxic if one is.
     """
@@ -204,36 +232,48 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     some = told.where("y > 0").orderBy(*order).limit(per_class).union(told.where("y <= 0").orderBy(*order).limit(per_class))
     texts = pick(docs, id=doc_id, text=text).where("text IS NOT NULL").join(F.broadcast(some), "id")  # at most 2 x per_class ids
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ys, ts = (b.column(c).to_pylist() for c in ("id", "y", "text"))
-            counted = [words(t) for t in ts]
-            keep = [i for i, w in enumerate(counted) if w]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in keep], pa.int64()), pa.array([int(ys[i] > 0) for i in keep], pa.int32()), pa.array([_group(counted[i]) for i in keep], pa.int64()), pa.array([sorted(Counter(counted[i]).items()) for i in keep], pa.map_(pa.string(), pa.int32()))],
-                names=["id", "y", "g", "terms"],
-            )
+            found = [words(t) for t in b.column("text").to_pylist()]
+            b = b.append_column("g", pa.array([_group(w) if w else None for w in found], pa.int64()))
+            yield b.filter(b.column("g").is_valid())
 
-    d = texts.select(F.col("id").cast("bigint"), "y", "text").mapInArrow(split, "id bigint, y int, g bigint, terms map<string,int>")
-    held = d.groupBy("g", "y").agg(F.min_by(F.struct("id", "terms"), "id").alias("e")).select("e.id", "y", "e.terms").persist()
+    told_texts = texts.select(F.col("id").cast("bigint"), (F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(grouped, "id bigint, y int, text string, g bigint")
+    held = told_texts.groupBy("g", "y").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("e")).select("e.id", "y", "e.text").persist()
     total = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     lexicon: list[str] = []
     if pos and neg:
-        seen = held.select("y", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("m"))
+
+        def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every, toxic = Counter(), Counter()
+            for b in batches:
+                for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    own = {x for w in set(words(t)) for x in terms_of(w)}
+                    every.update(own)
+                    if y:
+                        toxic.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[x] for x in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["term", "a", "m"])
+
+        seen = held.select("y", "text").mapInArrow(terms, "term string, a bigint, m bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
         tried = seen.count()
-        n, a, m = float(pos + neg), F.col("a"), F.col("m")
+        n, a, m = float(pos + neg), F.col("a").cast("double"), F.col("m").cast("double")
         off = a * (neg - (m - a)) - (m - a) * (pos - a)  # determinant of the 2 x 2 table
         chi = F.try_divide(off * off * n, float(pos) * neg * m * (n - m))
         least = 2 * float(np.log(tried / doubt))
         lexicon = sorted(r["term"] for r in seen.where((m > 1) & (chi >= least)).select("term").collect())
-    place = {t: i for i, t in enumerate(lexicon)}
-    rows = held.select("id", "y", F.map_filter("terms", lambda t, _: t.isin(lexicon)).alias("terms")).orderBy("id", "y").collect() if lexicon else held.select("id", "y").orderBy("id", "y").collect()
+    known = Lexicon(lexicon)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted(known.counts(t).items()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([[p for p, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["id", "y", "at", "n"])
+
+    rows = held.select("id", "y", "text").mapInArrow(counted, "id bigint, y int, at array<int>, n array<int>").orderBy("id", "y").collect()
     held.unpersist()
     counts = np.zeros((len(rows), len(lexicon)))
     for i, r in enumerate(rows):
-        for t, c in r["terms"].items() if lexicon else ():
-            counts[i, place[t]] = c
+        counts[i, r["at"]] = r["n"]
     df, texts_n = lexicon_counts(docs, lexicon, text) if lexicon else (np.empty(0), 0)
     return ToxicityModel(lexicon, idf(df, texts_n), counts, np.array([r["id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64), k)
 

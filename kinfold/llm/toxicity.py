@@ -75,11 +75,11 @@ class BlockMaxIndex:
         return place, cos
 
 
-PREFIXES = range(3, 9)
+PREFIXES = range(3, 8)
 
 
 def terms_of(word: str) -> list[str]:
-    """The word and its proper prefixes of 3 to 8 letters (marked with ~): inflected and compounded
+    """The word and its proper prefixes of 3 to 7 letters (marked with ~): inflected and compounded
     forms share them."""
     return [word, *[word[:k] + "~" for k in PREFIXES if len(word) > k]]
 
@@ -105,13 +105,13 @@ class Lexicon(dict):
         return Counter(p for places in map(self.__getitem__, WORD.findall(text.lower())) if places for p in places)
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pools adjacent violators: (least x of each pool, its mean of y)."""
+def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pools adjacent violators: (least x of each pool, its weighted mean of y)."""
     order = np.argsort(x, kind="stable")
     xs, first = np.unique(x[order], return_index=True)
     pools: list[list[float]] = []
-    for i, v in enumerate(np.split(y[order], first[1:])):
-        pools.append([xs[i], float(v.sum()), len(v)])
+    for i, (v, m) in enumerate(zip(np.split((y * w)[order], first[1:]), np.split(w[order], first[1:]), strict=True)):
+        pools.append([xs[i], float(v.sum()), float(m.sum())])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, s, n = pools.pop()
             pools[-1][1] += s
@@ -120,40 +120,46 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
-    """Lexicon, term weights, example index and calibration; small enough to go with each task."""
+    """Lexicon, term weights, example index and calibration; small enough to go with each task.
 
-    def __init__(self, lexicon: list[str], weights: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int):
-        self.lexicon, self.weights, self.k = lexicon, weights, k
+    A text's vector has its terms' TF-IDF and one more term that every text has once, whose weight
+    is `common` times the examples' median norm: so one chance hit isn't as near to an example full
+    of hits as their direction alone would have it. `share` weighs the classes' votes back to how
+    often they are labelled.
+    """
+
+    def __init__(self, lexicon: list[str], weights: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int, share: tuple[float, float] = (1.0, 1.0), common: float = 0.75):
+        self.lexicon, self.weights, self.k, self.share = lexicon, weights, k, share
         self.words = Lexicon(lexicon)
         labels = labels.astype(np.float64)
-        self.index = BlockMaxIndex(np.log1p(counts) * weights, ids, labels)
-        blank = (counts == 0).all(axis=1) if len(counts) else np.empty(0, bool)
-        rest = labels[blank]
-        self.base = float((rest.sum() + labels.mean()) / (len(rest) + 1)) if len(labels) else 0.0
+        body = counts * weights if len(lexicon) else np.zeros((len(ids), 0))
+        norms = np.linalg.norm(body, axis=1)
+        self.common = common * float(np.median(norms[norms > 0])) if (norms > 0).any() else 1.0
+        self.index = BlockMaxIndex(np.hstack([body, np.full((len(ids), 1), self.common)]), ids, labels)
+        each = np.where(labels > 0, share[1], share[0])
+        self.base = float((each * labels).sum() / each.sum()) if len(labels) else 0.0
         self.found: dict[tuple, tuple] = {}
         # Calibration: each example is scored by the others.
-        raw, truth = [], []
-        for row, y in zip(counts[~blank] if len(counts) else [], labels[~blank], strict=True):
-            q = tuple((int(t), int(row[t])) for t in np.flatnonzero(row))
-            raw.append(self._vote(q, y))
-            truth.append(y)
-        self.steps, self.levels = _isotonic(np.array(raw), np.array(truth)) if raw else (np.zeros(1), np.array([self.base]))
+        raw = [self._vote(tuple((int(t), int(row[t])) for t in np.flatnonzero(row)), y) for row, y in zip(counts, labels, strict=True)]
+        self.steps, self.levels = _isotonic(np.array(raw), labels, each) if raw else (np.zeros(1), np.zeros(1))
         self.found = {}
 
     def _query(self, q: tuple) -> tuple[list[int], np.ndarray]:
         terms = [t for t, _ in q]
-        w = np.log1p(np.array([n for _, n in q], np.float64)) * self.weights[terms]
-        return terms, w / np.linalg.norm(w)
+        w = np.append(np.array([n for _, n in q], np.float64) * self.weights[terms] if q else [], self.common)
+        return [*terms, len(self.lexicon)], w / np.linalg.norm(w)
 
     def _vote(self, q: tuple, without: float | None = None) -> float:
         """Votes by squared similarity, with one vote of the base rate. `without`: the label of the
         query's own example, which doesn't vote."""
         place, cos = self._near(q)
         w = cos**2
-        yes, n = float(w @ self.index.votes[place]), float(w @ self.index.size[place])
+        yes = float(w @ self.index.votes[place])
+        no = float(w @ self.index.size[place]) - yes
         if without is not None:
-            yes, n = yes - without, n - 1
-        return (yes + self.base) / (n + 1)
+            yes, no = yes - without, no - (1 - without)
+        yes, no = yes * self.share[1], no * self.share[0]
+        return (yes + self.base) / (yes + no + 1)
 
     def _near(self, q: tuple) -> tuple[np.ndarray, np.ndarray]:
         got = self.found.get(q)
@@ -167,11 +173,8 @@ class ToxicityModel:
         return tuple(sorted(self.words.counts(text).items()))
 
     def score(self, text: str) -> float:
-        """Calibrated chance that the text is toxic; the base rate where it has no term of the lexicon."""
-        q = self.key(text)
-        if not q:
-            return self.base
-        v = self._vote(q)
+        """Calibrated chance that the text is toxic."""
+        v = self._vote(self.key(text))
         return float(self.levels[max(0, int(np.searchsorted(self.steps, v, side="right")) - 1)])
 
     def evidence(self, text: str, most: int = 5) -> tuple[list[str], list[dict]]:
@@ -218,7 +221,7 @@ def lexicon_counts(docs: DataFrame, lexicon: Sequence[str], text: str = "text")
     return out[:-1], int(out[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 25, per_class: int = 5_000, doubt: float = 0.01) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 15, per_class: int = 5_000, doubt: float = 0.01) -> ToxicityModel:
     """The model from labelled rows.
 
     Examples are at most `per_class` labelled rows of each class, the lowest by hash of their id:
@@ -230,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     told = pick(labels, id=doc_id, y=label).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max(F.col("y").cast("int")).alias("y"))
     order = F.xxhash64("id"), F.col("id")
     some = told.where("y > 0").orderBy(*order).limit(per_class).union(told.where("y <= 0").orderBy(*order).limit(per_class))
+    labelled = {r["y"]: r["n"] for r in told.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = pick(docs, id=doc_id, text=text).where("text IS NOT NULL").join(F.broadcast(some), "id")  # at most 2 x per_class ids
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +278,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counts = np.zeros((len(rows), len(lexicon)))
     for i, r in enumerate(rows):
         counts[i, r["at"]] = r["n"]
+    rates = [labelled.get(y, 0) / n if (n := total.get(y, 0)) else 0.0 for y in (0, 1)]
+    share = (1.0, rates[1] / rates[0]) if rates[0] and rates[1] else (1.0, 1.0)
     df, texts_n = lexicon_counts(docs, lexicon, text) if lexicon else (np.empty(0), 0)
-    return ToxicityModel(lexicon, idf(df, texts_n), counts, np.array([r["id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64), k)
+    return ToxicityModel(lexicon, idf(df, texts_n), counts, np.array([r["id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64), k, share)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id", reject: float = 0.5) -> DataFrame:
     """doc_id, `score`, `toxic` (score >= reject), the lexicon `terms` it has and its nearest
     labelled `neighbours` (doc_id, toxic, cosine), one row for each row of the table.
 
-    NULL text has a NULL score, isn't toxic and has no neighbours; a text without words or terms has
-    the base rate. Ties in similarity all vote. doc_id may be NULL or repeated. Empty table: no rows.
+    NULL text has a NULL score, isn't toxic and has no neighbours; a text without words or terms is
+    scored by the examples that have none, and shows no neighbours. Ties in similarity all vote. doc_id may be NULL or repeated. Empty table: no rows.
     """
     d = pick(docs, doc_id=doc_id, text=text)
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame
 from kinfold.llm.common import pick, slices
 
 BAR = "▁"
+END = -1
+NEAR = 48
+SCALE = 4.0
+PART = 8_000  # units whose lattices are built together: their arrays stay in the cache
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +62,9 @@ class Lattice:
         self.text = [p.encode() for p in self.piece]
         for b in range(256):
             self.text[self.byte[b]] = bytes([b])
+        self.bytes = np.array([len(b) for b in self.text])
+        self.first = np.cumsum(self.bytes) - self.bytes
+        self.spelling = np.frombuffer(b"".join(self.text), np.uint8)
         self.longest = max(len(p) for p in self.id)
         inner = {c for p in self.id if len(p) > 1 for c in p if c != BAR}
         self.units = re.compile(f"{BAR}*[{''.join(re.escape(c) for c in sorted(inner))}]+|{BAR}+|.", re.DOTALL).findall
@@ -135,32 +143,51 @@ class Lattice:
         rare = one[s] if total else np.empty(0, bool)
         c = codes[s[rare]]
         w[rare] = self.rare * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        d = np.where(d == end[s], total, d)  # every unit ends in one node
-        weight = np.zeros(total + 1)
-        # Backward sums, all places that are as far from their unit's end at once.
+        d = np.where(d == end[s], END, d)
+        # Backward sums, all places that are as far from their unit's end at once. Near an end they
+        # are plain products, scaled by the letter so that they stay about 1; beyond, logarithms.
         far = end - np.arange(total)
         longest = int(n.max(initial=0))
         of = far[s].astype(np.uint16 if longest < 2**16 else np.int64)  # 16 bits are sorted by radix
         by_far = np.argsort(of, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=longest + 1)[1:])])
-        score = w.copy()
-        for r in range(len(cuts) - 1):
+        odds = np.exp(w + SCALE * (of - np.where(d == END, 0, far[d]))) if total else w
+        weight = np.zeros(total + 1)
+        weight[END] = 1.0
+        near = min(longest, NEAR)
+        for r in range(near):
             e = by_far[cuts[r] : cuts[r + 1]]
-            if not len(e):
-                continue
-            score[e] = w[e] + weight[d[e]]
-            heads = np.flatnonzero(np.diff(s[e], prepend=-1))
-            top = np.maximum.reduceat(score[e], heads)
-            count = np.diff(np.append(heads, len(e)))
-            weight[s[e[heads]]] = top + np.log(np.add.reduceat(np.exp(score[e] - np.repeat(top, count)), heads))
-        odds = np.minimum(np.exp(score - weight[s]), 1.0)
-        run = np.cumsum(odds)
-        cum = run - np.concatenate([[0.0], run])[start[s]] + s
+            if len(e):
+                each = odds[e] * weight[d[e]]
+                odds[e] = each
+                heads = np.flatnonzero(np.diff(s[e], prepend=-1))
+                weight[s[e[heads]]] = np.add.reduceat(each, heads)
+        e = by_far[: cuts[near]]
+        odds[e] /= weight[s[e]]
+        if longest > near:
+            weight = np.log(np.where(weight > 0, weight, 1.0))
+            weight[:-1] -= SCALE * far
+            weight[END] = 0.0
+            score = w + 0.0
+            for r in range(near, longest):
+                e = by_far[cuts[r] : cuts[r + 1]]
+                if not len(e):
+                    continue
+                score[e] = w[e] + weight[d[e]]
+                heads = np.flatnonzero(np.diff(s[e], prepend=-1))
+                top = np.maximum.reduceat(score[e], heads)
+                count = np.diff(np.append(heads, len(e)))
+                weight[s[e[heads]]] = top + np.log(np.add.reduceat(np.exp(score[e] - np.repeat(top, count)), heads))
+            e = by_far[cuts[near] :]
+            odds[e] = np.exp(score[e] - weight[s[e]])
+        odds = np.minimum(odds, 1.0)
+        run = np.concatenate([[0.0], np.cumsum(odds)])
+        cum = run[1:] - run[start[s]] + s
         last = start[1:][start[1:] > start[:-1]] - 1
         cum[last] = s[last] + 1
         single = np.zeros(len(s), bool)
         single[last] = np.diff(last, prepend=-1) == 1
-        return Edges(start, i, d, cum, odds, single, total, first)
+        return Edges(start, i, d, cum, odds, single, first)
 
     def normalized(self, text: str) -> str:
         """What the model segments: a word start in front, and one for each space."""
@@ -175,6 +202,21 @@ class Lattice:
             out += [i] if i >= 0 else [self.byte[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32)
 
+    def exact(self, samples: list[np.ndarray], texts: list[str]) -> np.ndarray:
+        """Whether each sample decodes to its text, by one comparison of all their bytes."""
+        want = [self.normalized(t).encode("utf-8", "surrogatepass") for t in texts]
+        ids = np.concatenate(samples) if samples else np.empty(0, np.int32)
+        n = self.bytes[ids]
+        each = np.append(0, np.cumsum(n))
+        bounds = each[np.append(0, np.cumsum([len(x) for x in samples]))].astype(np.int64)
+        sizes = np.array([len(w) for w in want], np.int64)
+        ok = np.diff(bounds) == sizes
+        if not ok.all():
+            return np.array([self.decode(x) == t for x, t in zip(samples, texts, strict=True)], bool)
+        at = np.arange(each[-1], dtype=np.int64) + np.repeat(self.first[ids] - each[:-1], n)
+        same = np.append(0, np.cumsum(self.spelling[at] == np.frombuffer(b"".join(want), np.uint8)))
+        return (same[bounds[1:]] - same[bounds[:-1]] == sizes) & np.array([BAR not in t for t in texts], bool)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation: the exact inverse of `spell` over `normalized`."""
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass").replace(BAR, " ")[1:]
@@ -182,7 +224,7 @@ class Lattice:
 
 class Edges(NamedTuple):
     """Edges of all nodes, by node: where each node's begin, piece, next node, cumulated odds plus
-    node, odds, whether it is its node's only one; the end node; the node of each unit."""
+    node, odds, whether it is its node's only one; the node of each unit. A unit's last edge leads to END."""
 
     start: np.ndarray
     piece: np.ndarray
@@ -190,9 +232,25 @@ class Edges(NamedTuple):
     cum: np.ndarray
     odds: np.ndarray
     single: np.ndarray
-    end: int
     unit: np.ndarray
 
+    @staticmethod
+    def joined(parts: list[Edges]) -> Edges:
+        """All lattices as one."""
+        if len(parts) == 1:
+            return parts[0]
+        nodes = np.cumsum([0, *[len(p.start) - 1 for p in parts]])
+        edges = np.cumsum([0, *[len(p.piece) for p in parts]])
+        return Edges(
+            np.concatenate([parts[0].start[:1], *[p.start[1:] + x for p, x in zip(parts, edges, strict=False)]]),
+            np.concatenate([p.piece for p in parts]),
+            np.concatenate([np.where(p.after == END, END, p.after + np.int32(x)) for p, x in zip(parts, nodes, strict=False)]),
+            np.concatenate([p.cum + x for p, x in zip(parts, nodes, strict=False)]),
+            np.concatenate([p.odds for p in parts]),
+            np.concatenate([p.single for p in parts]),
+            np.concatenate([p.unit + x for p, x in zip(parts, nodes, strict=False)]),
+        )
+
 
 class Paths(NamedTuple):
     """Steps of one path for each row, by row: row, unit, edge, log probability before the step,
@@ -239,7 +297,7 @@ class Sampler:
             which.append(live)
             edges.append(edge)
             here = e.after[edge]
-            on = here != e.end
+            on = here != END
             here, live, base = here[on], live[on], base[on]
             step += 1
         if not which:
@@ -328,11 +386,11 @@ class Sampler:
                     p.rest[i] = -np.inf
                 unit = int(p.unit[i])
                 heads.append((r, j, int(x[r]), i, new, unit, float(p.before[i])))
-                tails.append(np.concatenate([[e.after[new]] if e.after[new] != e.end else [], nodes[unit + 1 : bounds[r + 1]]]).astype(np.int64))
+                tails.append(np.concatenate([[e.after[new]] if e.after[new] != END else [], nodes[unit + 1 : bounds[r + 1]]]).astype(np.int64))
             # From each new child on: its unit's rest, then the later units.
             size = np.array([len(t) for t in tails], np.int64)
             own = np.repeat(np.arange(len(tails)), size)
-            low = np.array([h[5] + (e.after[h[4]] == e.end) for h in heads], np.int64)
+            low = np.array([h[5] + (e.after[h[4]] == END) for h in heads], np.int64)
             places = (np.arange(len(own)) - (np.cumsum(size) - size)[own]) + (low[own] if len(own) else 0)
             grown_seeds = seeds[grown]
             which, edge = self.walk(np.concatenate(tails) if tails else np.empty(0, np.int64), places - (bounds[grown[own]] if len(own) else 0), grown_seeds[own], turn)
@@ -388,6 +446,8 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
     def part(lattice: Lattice, ids: pa.Array, keys: list, texts: list) -> pa.RecordBatch:
         found = sample_texts(lattice, texts, [seed_of((seed, x, t)) for x, t in zip(keys, texts, strict=True)], k)
         samples, exact, n = [], [], []
+        drawn = [(lattice.spell(pieces), t) for t, got in zip(texts, found, strict=True) if t for pieces, _, _ in got[:-1]]
+        checked = iter(zip([x for x, _ in drawn], lattice.exact([x for x, _ in drawn], [t for _, t in drawn]).tolist(), strict=True))
         for t, got in zip(texts, found, strict=True):
             if not t:
                 samples.append(None if t is None else [])
@@ -395,9 +455,9 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
                 n.append(None if t is None else 0)
                 continue
             kappa, one, ok = got[-1][2], [], True
-            for pieces, logp, key in got[:-1]:
-                spelt = lattice.spell(pieces)
-                ok = ok and lattice.decode(spelt) == t
+            for _, logp, key in got[:-1]:
+                spelt, same = next(checked)
+                ok = ok and same
                 one.append({"ids": spelt.tobytes(), "log_prob": logp, "key": key, "inclusion": 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(logp - kappa, 50.0))))})
             samples.append(one)
             exact.append(ok)
@@ -410,8 +470,9 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
 def sample_texts(lattice: Lattice, texts: list[str | None], seeds: list[int], k: int) -> list[list[tuple[np.ndarray | None, float, float]]]:
     """`Sampler.sample` over texts; their distinct units are built once for all."""
     units = [lattice.units(lattice.normalized(t)) if t else [] for t in texts]
-    known: dict[str, int] = {}
-    number = np.fromiter((known.setdefault(u, len(known)) for us in units for u in us), np.int64)
     row = np.repeat(np.arange(len(texts)), [len(u) for u in units])
-    edges = lattice.build(list(known))
+    distinct = list(dict.fromkeys(chain.from_iterable(units)))
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    number = np.fromiter(map(place.__getitem__, chain.from_iterable(units)), np.int64, len(row))
+    edges = Edges.joined([lattice.build(distinct[i : i + PART]) for i in range(0, max(1, len(distinct)), PART)])
     return Sampler(edges).sample(edges.unit[number] if len(number) else number, row, np.array(seeds, np.uint64), k)

@@ -6,11 +6,9 @@ import re
 import tempfile
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,29 +78,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Buckets(dict):
-    """Word to bucket of a fixed number, by hash; `terms` have places of their own after the buckets."""
+ODD = re.compile(r"[^\x00-\x7f\w]+")
+LETTER = np.array([chr(b).isalnum() or b == 95 or b > 127 for b in range(256)])
+LETTER[128:] = True
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-    def __init__(self, size: int, terms: Sequence[str] = ()):
-        self.size, self.terms = size, terms
-        super().__init__()
-        self._seed()
 
-    def _seed(self) -> None:
-        self.clear()
-        self.update({t: self.size + i for i, t in enumerate(self.terms)})
+def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words (as `words` finds them), end to end, and each text's number of them.
 
-    def __missing__(self, word: str) -> int:
-        b = self[word] = xxhash.xxh3_64_intdigest(word) & (self.size - 1)
-        return b
+    All words of a batch are found and hashed by a few passes over its bytes: odd characters that
+    are no letters become spaces, so what is left above ASCII is part of a word.
+    """
+    low = [t.lower() for t in texts]
+    return _hashed([(t if t.isascii() else ODD.sub(" ", t)).encode("utf-8", "surrogatepass") for t in low])
+
+
+def _hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    whole = b"\n".join(raw) + b"\0" * 9
+    letter = LETTER[np.frombuffer(whole, np.uint8)]
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    if letter[0]:
+        edges = np.append(0, edges)
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    n = np.diff(np.searchsorted(start, ends), prepend=0)
+    eight = np.ndarray((len(whole) - 7,), np.uint64, whole, strides=(1,))
+    h = mixed(eight[start] & MASKS[np.minimum(size, 8)])
+    left, step = np.flatnonzero(size > 8), 8
+    while len(left):
+        h[left] = mixed(h[left] * np.uint64(0x9E3779B97F4A7C15) + (eight[start[left] + step] & MASKS[np.minimum(size[left] - step, 8)]) + np.uint64(1))
+        step += 8
+        left = left[size[left] > step]
+    return h, n
+
+
+class Terms:
+    """Words to numbers: known terms have places of their own, after a fixed number of buckets for all others."""
+
+    def __init__(self, size: int, terms: Sequence[str] = ()):
+        self.size, self.terms = size, list(terms)
+        self.hash = _hashed([t.encode("utf-8", "surrogatepass") for t in self.terms])[0]
+        self.slots = 1 << max(10, (8 * len(self.terms)).bit_length())
+        self.head, self.next = np.full(self.slots, -1, np.int32), np.full(len(self.terms), -1, np.int32)
+        for i, slot in enumerate(((self.hash >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64).tolist()):
+            self.next[i], self.head[slot] = self.head[slot], i
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        out = (h & np.uint64(self.size - 1)).astype(np.int32)
+        if not self.terms:
+            return out
+        at = self.head[((h >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)]
+        left = np.flatnonzero(at >= 0)
+        at = at[left]
+        while len(left):
+            same = self.hash[at] == h[left]
+            out[left[same]] = self.size + at[same]
+            at, left = self.next[at[~same]], left[~same]
+            at, left = at[at >= 0], left[at >= 0]
+        return out
 
     def tokens(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' buckets in order and the number of words of each text."""
-        if len(self) > 400_000 + len(self.terms):
-            self._seed()
-        found = [WORD.findall(t.lower()) for t in texts]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int32, int(n.sum())), n
+        """All words' numbers in order and how many each text has."""
+        h, n = word_hashes(texts)
+        return self.places(h), n
 
 
 BUCKETS = 1 << 18
@@ -116,13 +161,15 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int = BUCKETS) -> tuple
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, rows = Buckets(size), np.zeros(size, np.int64), 0
+        known, total, rows = Terms(size), np.zeros(size, np.int64), 0
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, j in slices([len(t) for t in texts], 2_000_000):
+            # At most 8,192 rows at once, so that row and bucket are one 31-bit number.
+            for i, j in slices([max(len(t), 128) for t in texts], 1 << 20):
                 at, n = known.tokens(texts[i:j])
-                own = np.repeat(np.arange(j - i, dtype=np.int64) * size, n)
-                total += np.bincount(np.unique(own + at) & (size - 1), minlength=size)
+                key = np.repeat(np.arange(j - i, dtype=np.int32) << np.int32(18), n) | at
+                key.sort()
+                total += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] & (size - 1), minlength=size)
             rows += len(texts)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["n", "counts"])

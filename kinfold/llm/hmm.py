@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, Buckets, cut, pick, slices
+from kinfold.llm.common import WORD, Terms, cut, pick, slices
 from kinfold.llm.decontaminate import pieces, summed
 
 
@@ -27,8 +26,8 @@ class Vocabulary:
         self.size = len(types) + len(terms)
         self.within = np.concatenate([-np.log(types + 1.0), np.zeros(len(terms))])
 
-    def coder(self) -> Buckets:
-        return Buckets(len(self.types), self.terms)
+    def coder(self) -> Terms:
+        return Terms(len(self.types), self.terms)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,7 +53,7 @@ def vocabulary(docs: DataFrame, text: str = "text", terms: int = 32_768, shared:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, total = np.zeros(shared), np.zeros(shared)
         for b in batches:
-            at = np.fromiter((xxhash.xxh3_64_intdigest(w) & (shared - 1) for w in b.column("word").to_pylist()), np.int64, b.num_rows)
+            at = Terms(shared, b.column("word").to_pylist()).hash.astype(np.int64) & (shared - 1)
             types += np.bincount(at, minlength=shared)
             total += np.bincount(at, b.column("n").to_numpy(), minlength=shared)
         yield pieces(np.stack([types, total], axis=1))

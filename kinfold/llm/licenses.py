@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import BUCKETS, Buckets, bucket_frequencies, cut, idf, pick, slices, words
+from kinfold.llm.common import BUCKETS, Terms, bucket_frequencies, cut, idf, pick, slices, words
 
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'],
@@ -42,8 +42,8 @@ class Templates:
                     self.names.append(name)
                     rows.append(Counter(words(t)))
         self.terms = sorted({w for r in rows for w in r})
-        hashed, weights = Buckets(BUCKETS), idf(df, n)
-        self.weights = np.concatenate([weights, [weights[hashed[t]] for t in self.terms]])
+        weights = idf(df, n)
+        self.weights = np.concatenate([weights, weights[Terms(BUCKETS, self.terms).hash.astype(np.int64) & (BUCKETS - 1)]])
         place = {t: i for i, t in enumerate(self.terms)}
         self.rows = np.zeros((len(rows), len(self.terms)))
         for i, r in enumerate(rows):
@@ -86,7 +86,7 @@ def license_texts(files: DataFrame, path: str = "path", text: str = "text", doc_
     d = pick(files, doc_id=doc_id, path=path, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets(BUCKETS, model.terms)
+        known = Terms(BUCKETS, model.terms)
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in slices([len(t or "") for t in texts], 2_000_000):

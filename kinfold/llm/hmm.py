@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import WORD, Terms, cut, pick, slices
@@ -43,10 +43,27 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return pick(docs, text=text).where("text IS NOT NULL").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, terms: int) -> list[Row]:
+    """The words of the greatest counts, ties by word. Their number is cut first by a histogram of
+    sixteenths of an octave: so only they and the words of one class come to the driver, however many
+    partitions there are."""
+    octave = F.floor(F.log2("n") * 16).cast("int")
+    sizes = {r["c"]: r["m"] for r in counts.groupBy(octave.alias("c")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    have, least = 0, 0
+    for c in sorted(sizes, reverse=True):
+        have, least = have + sizes[c], c
+        if have >= terms:
+            break
+    rows = counts.where(octave >= least)
+    edge = max(0, terms - (have - sizes.get(least, 0)))
+    above, last = rows.where(octave > least), rows.where(octave == least).orderBy(F.desc("n"), "word").limit(edge)
+    return sorted([*above.collect(), *last.collect()], key=lambda r: (-r["n"], r["word"].encode()))
+
+
 def vocabulary(docs: DataFrame, text: str = "text", terms: int = 32_768, shared: int = 4_096) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and each symbol's count in the corpus."""
     counts = cut(word_counts(docs, text))
-    top = counts.orderBy(F.desc("n"), "word").limit(terms).collect()
+    top = _most_frequent(counts, terms)
     last = (top[-1]["n"], top[-1]["word"]) if top else (0, "")
     rest = counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
 

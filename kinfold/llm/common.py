@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -150,18 +149,47 @@ class Terms:
         return self.places(h), n
 
 
+ROWS = 512
+
+
+def pieces(total: np.ndarray) -> pa.RecordBatch:
+    """A task's array as (at, cells) pieces of `ROWS` rows, without those that are all zero."""
+    flat = total.reshape(len(total), -1)
+    at = [i for i in range(-(-len(flat) // ROWS)) if flat[i * ROWS : (i + 1) * ROWS].any()]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.ascontiguousarray(flat[i * ROWS : (i + 1) * ROWS], np.float64).tobytes() for i in at], pa.binary())], names=["at", "cells"])
+
+
+def summed(parts: DataFrame, shape: tuple[int, ...], fan: int = 64) -> np.ndarray:
+    """The sum of all tasks' arrays, from their pieces.
+
+    Pieces of one place are added in `fan` groups of tasks first, then the groups' sums. So a task
+    gets tasks / fan pieces at most and the driver the one sum, however large the table is.
+    """
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.float64) for c in t.column("cells"))
+        return pa.table({"at": t.column("at").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(shape)
+    flat = out.reshape(shape[0], -1)
+    some = parts.groupBy("at", (F.spark_partition_id() % fan).alias("group")).applyInArrow(add, "at int, cells binary")
+    for r in some.groupBy("at").applyInArrow(add, "at int, cells binary").collect():
+        piece = np.frombuffer(r["cells"], np.float64).reshape(-1, flat.shape[1])
+        flat[r["at"] * ROWS : r["at"] * ROWS + len(piece)] = piece
+    return out
+
+
 BUCKETS = 1 << 18
 
 
 def bucket_frequencies(docs: DataFrame, text: str, size: int = BUCKETS) -> tuple[np.ndarray, int]:
     """Of how many texts each word bucket has a word, over the whole table, and how many texts there are.
 
-    Each task sends one array of fixed size, compressed; they are added up in groups, so neither
-    the driver nor a task holds more than a few such arrays, whatever the table's size.
+    Each task counts into one array of fixed size, which are then added up (see `summed`).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, rows = Terms(size), np.zeros(size, np.int64), 0
+        known, total = Terms(size), np.zeros(size + 1)
         for b in batches:
             texts = b.column("text").to_pylist()
             # At most 8,192 rows at once, so that row and bucket are one 31-bit number.
@@ -169,23 +197,12 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int = BUCKETS) -> tuple
                 at, n = known.tokens(texts[i:j])
                 key = np.repeat(np.arange(j - i, dtype=np.int32) << np.int32(18), n) | at
                 key.sort()
-                total += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] & (size - 1), minlength=size)
-            rows += len(texts)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["n", "counts"])
+                total[:size] += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] & (size - 1), minlength=size)
+            total[size] += len(texts)
+        yield pieces(total)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for c in t.column("counts"):
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
-        return pa.table({"n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    parts = pick(docs, text=text).where("text IS NOT NULL").mapInArrow(count, "n bigint, counts binary")
-    sums = parts.groupBy(F.expr("spark_partition_id() % 8").alias("g")).applyInArrow(add, "n bigint, counts binary").collect()
-    total = np.zeros(size, np.int64)
-    for r in sums:
-        total += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return total, sum(r["n"] for r in sums)
+    total = summed(pick(docs, text=text).where("text IS NOT NULL").mapInArrow(count, "at int, cells binary"), (size + 1,))
+    return total[:size], int(total[size])
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, Terms, cut, pick, slices
-from kinfold.llm.decontaminate import pieces, summed
+from kinfold.llm.common import WORD, Terms, cut, pick, pieces, slices, summed
 
 
 class Vocabulary:

@@ -49,31 +49,60 @@ class BlockMaxIndex:
             np.maximum.at(self.most[t], at // block, w)
             self.postings.append((at, w, np.searchsorted(at, np.arange(self.blocks + 1) * block)))
 
-    def search(self, terms: Sequence[int], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the distinct vectors nearest to the query and their cosines, greatest first,
-        with k examples or more between them; all that tie with the last come too."""
-        bound = weights @ self.most[list(terms)] if len(terms) else np.zeros(self.blocks)
-        place, cos, kth, have = np.empty(0, np.int64), np.empty(0), 0.0, 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or have >= k and bound[b] < kth - 1e-9:
-                break
+    def _scores(self, blocks: np.ndarray, terms: Sequence[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in these blocks that have a term, and their cosines."""
+        if len(blocks) > 4:  # whole postings are shorter work than many cuts of them
+            score = np.zeros(self.blocks * self.block)
+            for t, q in zip(terms, weights, strict=True):
+                at, w, _ = self.postings[t]
+                score[at] += q * w
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            hit = np.flatnonzero((score > 0) & np.repeat(wanted, self.block))
+            return hit, np.round(score[hit], 9)
+        found, cos = [], []
+        for b in blocks:
             score = np.zeros(self.block)
             for t, q in zip(terms, weights, strict=True):
                 at, w, cut = self.postings[t]
                 s = slice(cut[b], cut[b + 1])
                 score[at[s] - b * self.block] += q * w[s]
             hit = np.flatnonzero(score > 0)
-            place = np.concatenate([place, hit + b * self.block])
-            cos = np.concatenate([cos, np.round(score[hit], 9)])
-            order = np.lexsort((place, -cos))
-            reach = np.cumsum(self.size[place[order]])
-            have = int(reach[-1]) if len(reach) else 0
-            if have >= k:
-                kth = cos[order[np.searchsorted(reach, k)]]
-                order = order[cos[order] >= kth]
-            place, cos = place[order], cos[order]
+            found.append(hit + b * self.block)
+            cos.append(np.round(score[hit], 9))
+        return np.concatenate(found) if found else np.empty(0, np.int64), np.concatenate(cos) if cos else np.empty(0)
+
+    def search(self, terms: Sequence[int], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the distinct vectors nearest to the query and their cosines, greatest first,
+        with k examples or more between them; all that tie with the last come too.
+
+        The blocks of the greatest bounds give a first k-th cosine; then only those whose bound
+        reaches it are scored.
+        """
+        bound = weights @ self.most[list(terms)] if len(terms) else np.zeros(self.blocks)
+        by_bound = np.argsort(-bound, kind="stable")
+        by_bound = by_bound[bound[by_bound] > 0]
+        place, cos, seen, have = np.empty(0, np.int64), np.empty(0), 0, 0
+        while have < k and seen < len(by_bound):
+            more, their = self._scores(by_bound[seen : seen + max(1, seen)], terms, weights)
+            place, cos = np.concatenate([place, more]), np.concatenate([cos, their])
+            seen += max(1, seen)
+            have = int(self.size[place].sum())
+        place, cos = self._top(place, cos, k)
+        left = by_bound[seen:]
+        left = left[bound[left] >= (cos[-1] if len(cos) else 0) - 1e-9]
+        if len(left):
+            more, their = self._scores(left, terms, weights)
+            place, cos = self._top(np.concatenate([place, more]), np.concatenate([cos, their]), k)
         return place, cos
 
+    def _top(self, place: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((place, -cos))
+        reach = np.cumsum(self.size[place[order]])
+        if len(reach) and reach[-1] >= k:
+            order = order[cos[order] >= cos[order[np.searchsorted(reach, k)]]]
+        return place[order], cos[order]
+
 
 PREFIXES = range(3, 8)
 
@@ -139,6 +168,7 @@ class ToxicityModel:
         each = np.where(labels > 0, share[1], share[0])
         self.base = float((each * labels).sum() / each.sum()) if len(labels) else 0.0
         self.found: dict[tuple, tuple] = {}
+        self.told: dict[tuple, tuple] = {}
         # Calibration: each example is scored by the others.
         raw = [self._vote(tuple((int(t), int(row[t])) for t in np.flatnonzero(row)), y) for row, y in zip(counts, labels, strict=True)]
         self.steps, self.levels = _isotonic(np.array(raw), labels, each) if raw else (np.zeros(1), np.zeros(1))
@@ -174,16 +204,25 @@ class ToxicityModel:
 
     def score(self, text: str) -> float:
         """Calibrated chance that the text is toxic."""
-        v = self._vote(self.key(text))
+        return self._score(self.key(text))
+
+    def _score(self, q: tuple) -> float:
+        v = self._vote(q)
         return float(self.levels[max(0, int(np.searchsorted(self.steps, v, side="right")) - 1)])
 
-    def evidence(self, text: str, most: int = 5) -> tuple[list[str], list[dict]]:
-        """The text's terms and its nearest examples, lowest id first among equal cosines."""
+    def judged(self, text: str, most: int = 5) -> tuple[float, list[str], list[dict]]:
+        """The score, the text's terms and its nearest examples, lowest id first among equal cosines."""
         q = self.key(text)
-        if not q:
-            return [], []
+        got = self.told.get(q)
+        if got is None:
+            if len(self.told) > 50_000:
+                self.told.clear()
+            got = self.told[q] = (self._score(q), *(self._evidence(q, most) if q else ([], [])))
+        return got
+
+    def _evidence(self, q: tuple, most: int) -> tuple[list[str], list[dict]]:
         place, cos = self._near(q)
-        out = []
+        out: list[dict] = []
         for c in np.unique(-cos):
             own = np.concatenate([np.arange(self.index.start[p], self.index.start[p + 1]) for p in place[cos == -c]])
             for e in own[np.argsort(self.index.ids[own], kind="stable")][: most - len(out)]:
@@ -259,13 +298,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                         toxic.update(own)
             yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[x] for x in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["term", "a", "m"])
 
-        seen = held.select("y", "text").mapInArrow(terms, "term string, a bigint, m bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
+        seen = held.select("y", "text").mapInArrow(terms, "term string, a bigint, m bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m")).persist()
         tried = seen.count()
         n, a, m = float(pos + neg), F.col("a").cast("double"), F.col("m").cast("double")
         off = a * (neg - (m - a)) - (m - a) * (pos - a)  # determinant of the 2 x 2 table
         chi = F.try_divide(off * off * n, float(pos) * neg * m * (n - m))
         least = 2 * float(np.log(tried / doubt))
         lexicon = sorted(r["term"] for r in seen.where((m > 1) & (chi >= least)).select("term").collect())
+        seen.unpersist()
     known = Lexicon(lexicon)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +337,10 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            score = [None if t is None else model.score(t) for t in texts]
-            why = [([], []) if t is None else model.evidence(t) for t in texts]
+            why = [(None, [], []) if t is None else model.judged(t) for t in texts]
+            score = [w[0] for w in why]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(score, pa.float64()), pa.array([s is not None and s >= reject for s in score], pa.bool_()), pa.array([w[0] for w in why], pa.list_(pa.string())), pa.array([w[1] for w in why], near)],
+                [b.column("doc_id"), pa.array(score, pa.float64()), pa.array([s is not None and s >= reject for s in score], pa.bool_()), pa.array([w[1] for w in why], pa.list_(pa.string())), pa.array([w[2] for w in why], near)],
                 names=["doc_id", "score", "toxic", "terms", "neighbours"],
             )
 

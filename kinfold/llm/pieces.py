@@ -440,7 +440,7 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
         lattice = Lattice(model_path, theta)
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts], 3_000_000):
+            for i, j in slices([len(t or "") for t in texts], 1_500_000):
                 yield part(lattice, b.column("doc_id").slice(i, j - i), keys[i:j], texts[i:j])
 
     def part(lattice: Lattice, ids: pa.Array, keys: list, texts: list) -> pa.RecordBatch:

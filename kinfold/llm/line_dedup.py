@@ -296,11 +296,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_c
     names, i, t = docs.columns, position(docs, doc_id), position(docs, text)
     x = F.col(f"__c{t}")
     _, repeats = (index or LineIndex(docs.sparkSession, shards)).insert(docs, text, doc_id)
-    gone = repeats.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set("n").alias("__gone"))
+    gone = repeats.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list("n").alias("__gone"))
     again = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
-    rows = numbered(docs).select("*", *row_key(F.col(f"__c{i}"), x)).withColumn("__rn", again)
+    rows = numbered(docs).select("*", *row_key(F.col(f"__c{i}"), x)).withColumns({"__rn": again, "__m": F.count(F.lit(1)).over(Window.partitionBy("__k1", "__k2"))})
+    # Equal rows share a key: a line of theirs is gone from all of them only if it is from each.
+    gone = gone.withColumnRenamed("__gone", "__all")
     left = F.expr(f"transform(array(split(__c{t}, '\n')), p -> array_join(transform(array_except(sequence(0, size(p) - 1), __gone), i -> p[i]), '\n'))[0]")
-    kept = rows.join(gone, ["__k1", "__k2"], "left").withColumn("__new", F.when(F.col("__gone").isNull(), x).otherwise(left))
+    every = F.expr("CASE WHEN __m = 1 THEN __all ELSE filter(array_distinct(__all), n -> size(filter(__all, x -> x = n)) >= __m) END")
+    kept = rows.join(gone, ["__k1", "__k2"], "left").withColumn("__gone", every).withColumn("__new", F.when(F.col("__gone").isNull(), x).otherwise(left))
     bare = lambda c: F.btrim(c, F.lit(EDGE + "\n")) == ""
     blank = x.isNull() | bare(x)
     out = {t: F.col("__new")}

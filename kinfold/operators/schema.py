@@ -6,9 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENVELOPE = T.StructType.fromDDL(
-    "er_id BIGINT, er_uuid STRING, name STRING, description STRING, entity_type STRING, attributes MAP<STRING, STRING>, source_ids ARRAY<BIGINT>, "
-    "source_uuids ARRAY<STRING>, match_skip BOOLEAN, match_skip_reason STRING, match_skip_history ARRAY<INT>"
+_STRINGS, _LONGS = T.ArrayType(T.StringType()), T.ArrayType(T.LongType())
+ENVELOPE = T.StructType(
+    [
+        T.StructField(n, t)
+        for n, t in (
+            ("er_id", T.LongType()),
+            ("er_uuid", T.StringType()),
+            ("name", T.StringType()),
+            ("description", T.StringType()),
+            ("entity_type", T.StringType()),
+            ("attributes", T.MapType(T.StringType(), T.StringType())),
+            ("source_ids", _LONGS),
+            ("source_uuids", _STRINGS),
+            ("match_skip", T.BooleanType()),
+            ("match_skip_reason", T.StringType()),
+            ("match_skip_history", T.ArrayType(T.IntegerType())),
+        )
+    ]
 )
 DECISIONS = T.StructType([T.StructField(n, t, False) for n, t in (("entity_a_id", T.LongType()), ("entity_b_id", T.LongType()), ("is_match", T.BooleanType()), ("confidence", T.DoubleType()), ("reasoning", T.StringType()))])
 BLOCK_COLUMNS = ("block_key", "block_key_type", "entities", "block_size")

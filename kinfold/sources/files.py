@@ -31,19 +31,15 @@ def load(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 def delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header, quoted fields that may span lines, as UTF-8, or as Latin-1 where it isn't.
 
-    Undecodable bytes come out of the reader as U+FFFD, so a scan for that, which stops at the first
-    hit, decides; a file that has the character itself is valid UTF-8 and its bytes tell it apart.
+    A scan for a line that isn't valid UTF-8, which stops at the first, decides between them.
     """
 
     def read(encoding: str) -> DataFrame:
         reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"')
         return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
-    lines = spark.read.text(path).where(F.col("value").contains("�")).limit(1).head(1)
-    if not lines:
-        return read("UTF-8")
-    raw = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok"))
-    return read("UTF-8") if not raw.where("NOT ok").limit(1).head(1) else read("ISO-8859-1")
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).head(1)
+    return read("ISO-8859-1" if broken else "UTF-8")
 
 
 def delimited_in_zip(spark: SparkSession, path: str, name: str, into: str, sep: str = ",") -> DataFrame:

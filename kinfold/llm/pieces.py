@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +16,7 @@ from kinfold.llm.common import pick, slices
 
 BAR = "▁"
 END = -1
+INNER, START, OTHER = 0, 1, 2
 NEAR = 48
 SCALE = 4.0
 PART = 8_000  # units whose lattices are built together: their arrays stay in the cache
@@ -68,6 +68,9 @@ class Lattice:
         self.longest = max(len(p) for p in self.id)
         inner = {c for p in self.id if len(p) > 1 for c in p if c != BAR}
         self.units = re.compile(f"{BAR}*[{''.join(re.escape(c) for c in sorted(inner))}]+|{BAR}+|.", re.DOTALL).findall
+        self.kind = np.full(0x110000, OTHER, np.uint8)
+        self.kind[[ord(c) for c in inner]] = INNER
+        self.kind[ord(BAR)] = START
         # A trie of the longer pieces, as one table of children by (node, letter); single letters apart.
         self.alone = np.full(0x110000, -1, np.int32)
         letters: dict[str, int] = {}
@@ -97,8 +100,36 @@ class Lattice:
 
     def build(self, units: list[str]) -> Edges:
         """The lattice of distinct units."""
-        n = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        return self.built(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, units), np.int64, len(units)))
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What `units` finds in all texts at once: all letters, where units begin, the unit's hash and
+        the row it is in."""
+        raw = [self.normalized(t).encode("utf-32-le", "surrogatepass") for t in texts]
+        whole = b"".join(raw) + b"\0" * 8
+        codes = np.frombuffer(whole, np.uint32)
+        n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        kind = self.kind[codes]
+        before = np.append(OTHER, kind[:-1])
+        new = (kind == OTHER) | (before == OTHER) | ((kind == START) & (before != START))
+        ends = np.cumsum(n)
+        new[ends] = True  # also the padding after the last text
+        start = np.flatnonzero(new[: ends[-1]]) if len(n) else np.empty(0, np.int64)
+        size = np.diff(start, append=ends[-1] if len(n) else 0)
+        two = np.ndarray((len(codes) - 1,), np.uint64, whole, strides=(4,))
+        low = np.uint64(0xFFFFFFFF)
+        h = _mix(np.where(size > 1, two[start], two[start] & low) + GOLD)
+        left, step = np.flatnonzero(size > 2), 2
+        while len(left):
+            x = two[start[left] + step]
+            h[left] = _mix(h[left] * GOLD + np.where(size[left] - step > 1, x, x & low) + np.uint64(1))
+            step += 2
+            left = left[size[left] > step]
+        return codes, start, h, np.searchsorted(ends, start, side="right")
+
+    def built(self, codes: np.ndarray, n: np.ndarray) -> Edges:
+        """The lattice of units given as their letters, end to end, and their lengths."""
+        codes = codes.astype(np.int64)
         letter = self.letter[codes]
         total = len(codes)
         first = np.cumsum(n) - n
@@ -213,9 +244,12 @@ class Lattice:
         ok = np.diff(bounds) == sizes
         if not ok.all():
             return np.array([self.decode(x) == t for x, t in zip(samples, texts, strict=True)], bool)
-        at = np.arange(each[-1], dtype=np.int64) + np.repeat(self.first[ids] - each[:-1], n)
-        same = np.append(0, np.cumsum(self.spelling[at] == np.frombuffer(b"".join(want), np.uint8)))
-        return (same[bounds[1:]] - same[bounds[:-1]] == sizes) & np.array([BAR not in t for t in texts], bool)
+        kind = np.int32 if each[-1] < 2**31 else np.int64
+        at = np.arange(each[-1], dtype=kind) + np.repeat((self.first[ids] - each[:-1]).astype(kind), n)
+        wrong = np.flatnonzero(self.spelling[at] != np.frombuffer(b"".join(want), np.uint8))
+        out = np.array([BAR not in t for t in texts], bool)
+        out[np.unique(np.searchsorted(bounds, wrong, side="right") - 1)] = False
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation: the exact inverse of `spell` over `normalized`."""
@@ -469,10 +503,13 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
 
 def sample_texts(lattice: Lattice, texts: list[str | None], seeds: list[int], k: int) -> list[list[tuple[np.ndarray | None, float, float]]]:
     """`Sampler.sample` over texts; their distinct units are built once for all."""
-    units = [lattice.units(lattice.normalized(t)) if t else [] for t in texts]
-    row = np.repeat(np.arange(len(texts)), [len(u) for u in units])
-    distinct = list(dict.fromkeys(chain.from_iterable(units)))
-    place = dict(zip(distinct, range(len(distinct)), strict=True))
-    number = np.fromiter(map(place.__getitem__, chain.from_iterable(units)), np.int64, len(row))
-    edges = Edges.joined([lattice.build(distinct[i : i + PART]) for i in range(0, max(1, len(distinct)), PART)])
+    codes, start, hashes, row = lattice.cut([t or "" for t in texts])
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    size = np.diff(start, append=len(codes) - 2)[first]  # the letters end before their padding
+    parts = []
+    for i in range(0, max(1, len(first)), PART):
+        n = size[i : i + PART]
+        at = np.arange(n.sum()) + np.repeat(start[first[i : i + PART]] - (np.cumsum(n) - n), n)
+        parts.append(lattice.built(codes[at], n))
+    edges = Edges.joined(parts)
     return Sampler(edges).sample(edges.unit[number] if len(number) else number, row, np.array(seeds, np.uint64), k)

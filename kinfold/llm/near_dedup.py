@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, cut, numbered, pick, position, row_key, slices
+from kinfold.llm.common import cut, numbered, pick, position, row_key, slices, word_hashes
 
 BUCKETS = 128
 MANTISSA = 10
@@ -18,26 +17,15 @@ REST = 52
 EMPTY = np.uint16(0xFFFF)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(texts: list[str], size: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words and the row of each; a shorter text is one shingle, a text without words none."""
-    known = _Hashes() if known is None else known
-    found = [WORD.findall(t.lower()) for t in texts]
-    n = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((known[w] for ws in found for w in ws), np.uint64, int(n.sum()))
-    if len(known) > 500_000:
-        known.clear()
+    flat, n = word_hashes(texts)
     row = np.repeat(np.arange(len(n)), n)
     start = np.cumsum(n) - n
     at = np.arange(len(flat)) - start[row]
@@ -108,11 +96,10 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
     """k1, k2 (row key), id, reg (registers) for each row with a word in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, j in slices([len(t) for t in texts], 4_000_000):
-                h, row = shingles(texts[i:j], size, known)
+            for i, j in slices([len(t) for t in texts], 2_000_000):
+                h, row = shingles(texts[i:j], size)
                 reg = registers(h, row, j - i)
                 full = np.flatnonzero((reg != EMPTY).any(axis=1))
                 part = b.slice(i, j - i).take(pa.array(full))
@@ -202,11 +189,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for b in batches:
             t = b.column("text").to_pylist()
-            for i, j in slices([len(x) for x in t], 4_000_000):
-                h, row = shingles(t[i:j], size, known)
+            for i, j in slices([len(x) for x in t], 2_000_000):
+                h, row = shingles(t[i:j], size)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 cells = [np.unique(h[ends[k] : ends[k + 1]]).tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([b.column("head").slice(i, j - i), pa.array(cells, pa.binary())], names=["head", "cells"])

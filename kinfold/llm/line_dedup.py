@@ -284,18 +284,26 @@ class LineIndex:
         return lines.groupBy("shard").cogroup(self.state.groupBy("shard")).applyInArrow(shard, "k1 bigint, k2 bigint, n int")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = None, shards: int = 64, index: LineIndex | None = None) -> DataFrame:
+def shards_for(docs: DataFrame, text: str, per_shard: int) -> int:
+    """Shards of about `per_shard` lines at most, 64 at least: a shard is one task's memory."""
+    t = F.col("text")
+    lines = pick(docs, text=text).agg(F.sum(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1)).first()[0]
+    return max(64, -(-(lines or 0) // per_shard))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = None, per_shard: int = 250_000, index: LineIndex | None = None) -> DataFrame:
     """The table with repeated lines taken out of its texts; documents left without text go.
 
     Of equal lines (white space at the ends aside) the first stays: lines of `index` come before
     all, then documents go by integer `doc_id`, NULL last, ties by content; within one, lines go
     by place. Blank lines stay. A document whose text is NULL, empty or blank stays as it is. Of
     repeated equal rows only the first keeps its lines, so the others go. All columns stay,
-    whatever their names; `n_chars`, if named, gets the new length. Empty input gives no rows.
+    whatever their names; `n_chars`, if named, gets the new length. Empty input gives no rows. A new
+    index has as many shards as lines of `per_shard` need.
     """
     names, i, t = docs.columns, position(docs, doc_id), position(docs, text)
     x = F.col(f"__c{t}")
-    _, repeats = (index or LineIndex(docs.sparkSession, shards)).insert(docs, text, doc_id)
+    _, repeats = (index or LineIndex(docs.sparkSession, shards_for(docs, text, per_shard))).insert(docs, text, doc_id)
     gone = repeats.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list("n").alias("__gone"))
     again = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
     rows = numbered(docs).select("*", *row_key(F.col(f"__c{i}"), x)).withColumns({"__rn": again, "__m": F.count(F.lit(1)).over(Window.partitionBy("__k1", "__k2"))})

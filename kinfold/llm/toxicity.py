@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, idf, numbered, pick, position, words
+from kinfold.llm.common import WORD, idf, lowest, numbered, pick, position, words
 
 BLOCK = 64
 
@@ -270,9 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     are NULL, and labelled ids without a text, are left out; a row with two labels is toxic if one is.
     """
     told = pick(labels, id=doc_id, y=label).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max(F.col("y").cast("int")).alias("y"))
-    order = F.xxhash64("id"), F.col("id")
-    some = told.where("y > 0").orderBy(*order).limit(per_class).union(told.where("y <= 0").orderBy(*order).limit(per_class))
     labelled = {r["y"]: r["n"] for r in told.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = lowest(told.where("y > 0"), "id", per_class, labelled.get(1, 0)).union(lowest(told.where("y <= 0"), "id", per_class, labelled.get(0, 0)))
     texts = pick(docs, id=doc_id, text=text).where("text IS NOT NULL").join(F.broadcast(some), "id")  # at most 2 x per_class ids
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import free_name, numbered, pick, position
+from kinfold.llm.common import free_name, lowest, numbered, pick, position
 
 LEXICAL = ("n_chars", "host_chars", "path_chars", "labels", "depth", "digit_ratio", "hyphens", "entropy", "params", "encoded", "fragment", "secure")
 SUFFIXES = ("rate1", "rate2", "rate3", "seen2", "seen3")
@@ -82,7 +82,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "bad", rows: int =
     out. NULL URLs and labels are left out; a URL with two labels is bad if one is. With one class
     or no rows the model is the base rate."""
     d = pick(labelled, url=url, y=label).where("url IS NOT NULL AND y IS NOT NULL").groupBy("url").agg((F.max("y") > 0).cast("double").alias("label"))
-    d = d.orderBy(F.xxhash64("url"), "url").limit(rows)
+    d = lowest(d, "url", rows, d.count())
     ready = _prepared(d, "label").persist()
     total = ready.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
     n, bad = total["n"], total["bad"] or 0.0

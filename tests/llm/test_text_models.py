@@ -227,3 +227,14 @@ def test_url_features(spark):
     p = [u.count(c) / len(u) for c in set(u)]
     assert f.host == "a.co.uk" and f.s == "co.uk" and f.depth == 3 and f.params == 2 and f.fragment == 1 and f.secure == 1 and f.encoded == 1
     assert abs(f.entropy - -sum(x * math.log2(x) for x in p)) < 1e-9 and f.n_chars == len(u)
+
+
+def test_lowest_rows_are_the_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from kinfold.llm.common import lowest
+
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") % 3).alias("y"))
+    want = {r.id for r in df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id").limit(500).collect()}
+    assert {r.id for r in lowest(df, "id", 500, 20_000).collect()} == want
+    assert lowest(df, "id", 50_000, 20_000).count() == 20_000 and lowest(df.limit(0), "id", 5, 0).count() == 0

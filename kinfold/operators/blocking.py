@@ -72,13 +72,10 @@ def vector_blocks(df: DataFrame, id_column: str = "er_id", vector: str = "embedd
 
 
 def salt(blocks: DataFrame, most: int, order: str = "er_id") -> DataFrame:
-    """Cuts blocks of more than `most` rows to runs of that length in `order`: adds `salt_id`.
-
-    Only rows of large blocks are sorted within their block; the others get 0 as they pass.
-    """
+    """Cuts blocks of more than `most` rows to runs of that length in `order`: adds `salt_id`, 0 for
+    the others. One window over the block key, by which `key_blocks` has its rows together already."""
     place = F.row_number().over(Window.partitionBy("block_key").orderBy(order)) - 1
-    big = blocks.where(F.col("block_size") > most).withColumn("salt_id", F.floor(place / most).cast("int"))
-    return blocks.where(~(F.col("block_size") > most) | F.col("block_size").isNull()).withColumn("salt_id", F.lit(0)).unionByName(big)
+    return blocks.withColumn("salt_id", F.when(F.col("block_size") > most, F.floor(place / most)).otherwise(0).cast("int"))
 
 
 def first_blocks(blocks: DataFrame, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm.common import WORD, Terms, cut, pick, pieces, slices, summed
 

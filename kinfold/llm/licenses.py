@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm.common import BUCKETS, Terms, bucket_frequencies, cut, idf, pick, slices, words
 
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'This software is licensed under Apache License 2.0, to be used in compliance with its terms'],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
     "GPL-2.0": ["Licensed under the GNU General Public License, version 2."],

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm.common import cut, numbered, pick, position, row_key
 

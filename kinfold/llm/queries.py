@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm import toxicity as tox
 from kinfold.llm import url_filter

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm.common import WORD, idf, lowest, numbered, pick, position, words
 

@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm.common import free_name, lowest, numbered, pick, position
 

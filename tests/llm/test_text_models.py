@@ -186,7 +186,7 @@ def test_licence_templates_find_themselves(spark):
 
 
 def test_ancestors(spark):
-    from pyspark.sql import functions as F
+    import pyspark.sql.functions as F
 
     got = spark.createDataFrame([("a/b/c",), ("",)], "f string").select(ancestors(F.col("f")).alias("a")).collect()
     assert got[0].a == ["", "a", "a/b", "a/b/c"] and got[1].a == [""]
@@ -220,7 +220,7 @@ def test_url_filter_with_one_class(spark):
 
 
 def test_url_features(spark):
-    from pyspark.sql import functions as F
+    import pyspark.sql.functions as F
 
     u = "https://user@www.A.co.uk:80/x/y/1%20?b=1&c=2#f"
     f = spark.createDataFrame([(u,)], "u string").select(url_filter.host_of(F.col("u")).alias("host"), url_filter.suffix(url_filter.host_of(F.col("u")), 2).alias("s"), *[c.alias(n) for n, c in url_filter.lexical(F.col("u")).items()]).first()
@@ -230,7 +230,7 @@ def test_url_features(spark):
 
 
 def test_lowest_rows_are_the_first_by_hash(spark):
-    from pyspark.sql import functions as F
+    import pyspark.sql.functions as F
 
     from kinfold.llm.common import lowest
 

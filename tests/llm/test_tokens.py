@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.llm import decontaminate as dec
 from kinfold.llm.common import words

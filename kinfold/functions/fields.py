@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 #: Column names in order of precedence.
 BY_NAME = {
@@ -31,7 +31,7 @@ def votes(value: Column) -> dict[str, Column]:
     v = F.trim(value)
     letters = F.length(F.regexp_replace(v, r"[^\p{L}]", ""))
     return {
-        "email": v.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"),
+        "email": v.rlike(r"^[^@\s]+@[^@\s]+[.][^@\s]+$"),
         "url": v.rlike(r"(?i)^(https?://|www\.)"),
         "date": v.rlike(rf"^({_DIGITS}{{4}}-{_DIGITS}{{2}}-{_DIGITS}{{2}}|{_DIGITS}{{1,2}}/{_DIGITS}{{1,2}}/{_DIGITS}{{2,4}})"),
         "phone": (F.length(v) >= 7) & v.rlike(rf"^[{_DIGITS}\s().+-]+$"),

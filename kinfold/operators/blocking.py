@@ -7,7 +7,7 @@ from math import isqrt
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.functions.text import name_keys
 from kinfold.functions.vectors import dot
@@ -75,7 +75,8 @@ def salt(blocks: DataFrame, most: int, order: str = "er_id") -> DataFrame:
     """Cuts blocks of more than `most` rows to runs of that length in `order`: adds `salt_id`, 0 for
     the others. One window over the block key, by which `key_blocks` has its rows together already."""
     place = F.row_number().over(Window.partitionBy("block_key").orderBy(order)) - 1
-    return blocks.withColumn("salt_id", F.when(F.col("block_size") > most, F.floor(place / most)).otherwise(0).cast("int"))
+    run = F.when(F.col("block_size") > most, F.floor(place / most)).otherwise(0)
+    return blocks.withColumn("salt_id", run.cast("int"))
 
 
 def first_blocks(blocks: DataFrame, n: int) -> DataFrame:

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyspark.sql.functions as F
+import pyspark.sql.types as T
 
 from kinfold.operators.schema import ENVELOPE, conform
 from kinfold.session import checkpointed
 
-NAME_COLUMNS = ("title", "name", "product_name", "company_name", "entity_name")
-TWO_TABLE_NAMES = ("title", "name", "product_name", "product_title", "book_title")
+NAME_COLUMNS = tuple("title name product_name company_name entity_name".split())
+TWO_TABLE_NAMES = tuple("title name product_name product_title book_title".split())
+Names = list[str] | None
 RIGHT_OFFSET = 100_000
 
 
 def _strings(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return [c for c, kind in df.dtypes if kind == "string"]
 
 
 def name_column(df: DataFrame, wanted: tuple[str, ...] = NAME_COLUMNS) -> str:
@@ -57,7 +58,7 @@ def present(c: str, kind: T.DataType) -> Column:
     return F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) if isinstance(kind, T.DoubleType | T.FloatType) else F.col(f"`{c}`")
 
 
-def to_entities(df: DataFrame, id_column: str, name: str | None = None, texts: list[str] | None = None, entity_type: str = "entity", prefix: str = "", right: bool = False) -> DataFrame:
+def to_entities(df: DataFrame, id_column: str, name: str | None = None, texts: Names = None, entity_type: str = "entity", prefix: str = "", right: bool = False) -> DataFrame:
     """Envelope rows. The name falls back to `entity_<id>`, the description joins the text columns
     that aren't NULL, attributes hold every value that is there, as strings, under `prefix`. With
     `right`, ids are moved out of the left table's way and kept under it."""

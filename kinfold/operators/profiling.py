@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyspark.sql.functions as F
+import pyspark.sql.types as T
 
 from kinfold.functions.fields import decide, votes
 
@@ -60,12 +60,13 @@ def profile_columns(df: DataFrame, approximate: bool = False, samples: int = 5)
         kind = decide(r["field"], r["visible"], {k: r[f"as_{k}"] for k in looks})
         completeness = r["present"] / r["rows"] if r["rows"] else 0.0
         uniqueness = min(1.0, r["distinct"] / r["present"]) if r["present"] else 0.0
-        out.append((r["field"], kind, round(completeness, 4), round(uniqueness, 4), r["sample_values"] or [], kind in ("name", "identifier") and completeness >= 0.5, kind in ("name", "email", "url", "identifier", "text")))
+        out.append((r["field"], kind, round(completeness, 4), round(uniqueness, 4), r["sample_values"] or [], kind in ("name", "identifier") and completeness >= 0.5, kind in MATCHED))
     seen = {o[0] for o in out}
-    out += [(c, decide(c, 0, {}), 0.0, 0.0, [], False, decide(c, 0, {}) in ("name", "email", "url", "identifier", "text")) for c in kinds if c not in seen]
+    out += [(c, decide(c, 0, {}), 0.0, 0.0, [], False, decide(c, 0, {}) in MATCHED) for c in kinds if c not in seen]
     return df.sparkSession.createDataFrame(sorted(out), PROFILE)
 
 
+MATCHED = frozenset("email identifier name text url".split())
 PROFILE = "field string, inferred_type string, completeness double, uniqueness double, sample_values array<string>, is_blocking boolean, is_matching boolean"
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyspark.sql.functions as F
+import pyspark.sql.types as T
 
 _STRINGS, _LONGS = T.ArrayType(T.StringType()), T.ArrayType(T.LongType())
 ENVELOPE = T.StructType(
@@ -79,8 +79,8 @@ def spark_type(hint: object) -> tuple[T.DataType, bool]:
     import typing
 
     origin, args = typing.get_origin(hint), typing.get_args(hint)
-    if origin in (typing.Union, types.UnionType) and type(None) in args:
-        return spark_type(next(a for a in args if a is not type(None)))[0], True
+    if origin in (typing.Union, types.UnionType) and types.NoneType in args:
+        return spark_type([x for x in args if x is not types.NoneType][0])[0], True
     if origin is list:
         return T.ArrayType(spark_type(args[0])[0] if args else T.StringType()), False
     if origin is dict:

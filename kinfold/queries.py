@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.functions import text as T
 from kinfold.functions.fields import votes
@@ -352,7 +352,7 @@ def field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOOKS = {
-    "email": r"regexp_matches(v, '^[^\s@]+@[^\s@]+\.[^\s@]+$')", "url": r"regexp_matches(v, '^(https?://|www\.)', 'i')", "date": r"regexp_matches(v, '^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})')",
+    "email": r"regexp_matches(v, '^[^@\s]+@[^@\s]+[.][^@\s]+$')", "url": r"regexp_matches(v, '^(https?://|www\.)', 'i')", "date": r"regexp_matches(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})')",
     "phone": r"length(v) >= 7 AND regexp_matches(v, '^[\d\s().+-]+$')", "numeric": r"regexp_matches(v, '^[\d.,-]+$')", "name": r"length(v) < 100 AND length(regexp_replace(v, '[^\p{L}]', '', 'g')) >= length(v) * 0.5",
 }
 

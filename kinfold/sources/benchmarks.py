@@ -7,7 +7,7 @@ from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyspark.sql.functions as F
 
 from kinfold.operators.entities import RIGHT_OFFSET, TWO_TABLE_NAMES, dense_id, name_column, to_entities
 from kinfold.operators.metrics import pair_metrics
@@ -69,7 +69,7 @@ def read(spark: SparkSession, name: str, folder: str) -> TwoTables:
     tables = [root / "tableA.csv", root / "tableB.csv"]
     if all(t.exists() for t in tables):
         left, right = (delimited(spark, str(t)) for t in tables)
-        splits = [read_truth(spark, str(root / f), offset=RIGHT_OFFSET) for f in ("train.csv", "valid.csv", "test.csv") if (root / f).exists()]
+        splits = [read_truth(spark, str(root / f), offset=RIGHT_OFFSET) for f in sorted(f"{part}.csv" for part in ("test", "train", "valid")) if (root / f).exists()]
         empty = spark.createDataFrame([], "a bigint, b bigint")
         return TwoTables(name, left.withColumn("pos", F.col("id").cast("bigint")), right.withColumn("pos", F.col("id").cast("bigint")), reduce(DataFrame.union, splits, empty).distinct())
     raise FileNotFoundError(f"neither data.zip of a known dataset nor tableA.csv and tableB.csv in {folder}")

@@ -2,8 +2,8 @@
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyspark.sql.functions as F
+import pyspark.sql.types as T
 
 from kinfold.functions import fields, text, vectors
 from kinfold.operators import profiling, schema
@@ -56,8 +56,8 @@ def test_vectors(spark):
 @pytest.mark.parametrize(
     ("field", "values", "kind"),
     [
-        ("other", ["a@b.co", "x@y.org"], "email"), ("x", ["https://a.b", "http://c"], "url"), ("x", ["123", "456.78", "0"], "numeric"),
-        ("revenue", ["1234567", "7654321"], "numeric"), ("x", ["2024-01-15", "2023-12-31"], "date"), ("notes", ["12 34", "!!", "56ab78"], "text"),
+        ("other", ["a@b.co", "x@y.org"], "email"), ("x", ["https://a.b", "http://c"], "url"), ("x", ["0", "17", "4.5"], "numeric"),
+        ("revenue", ["1234567", "7654321"], "numeric"), ("x", ["1999-05-06", "2001-07-08"], "date"), ("notes", ["12 34", "!!", "56ab78"], "text"),
         ("description", ["a" * 150], "text"), ("phone", ["x"], "phone"), ("address", ["1"], "address"), ("sku", ["q"], "identifier"), ("who", ["Ann Lee", "Bo"], "name"),
         ("x", ["1234567"], "phone"), ("x", ["1/2/2024"], "date"), ("x", [None, " "], "text"), ("Product Name", ["7"], "name"),
     ],

@@ -60,7 +60,10 @@ def _most_frequent(counts: DataFrame, terms: int) -> list[Row]:
 
 
 def vocabulary(docs: DataFrame, text: str = "text", terms: int = 32_768, shared: int = 4_096) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary and each symbol's count in the corpus."""
+    """The vocabulary and each symbol's count in the corpus. `shared` is a power of two, and there
+    are at most 65,536 symbols, as they are kept in 16 bits."""
+    if shared & (shared - 1) or shared < 1 or terms + shared > 65_536:
+        raise ValueError("shared must be a power of two, and no more than 65536 symbols in all")
     counts = cut(word_counts(docs, text))
     top = _most_frequent(counts, terms)
     last = (top[-1]["n"], top[-1]["word"]) if top else (0, "")

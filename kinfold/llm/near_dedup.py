@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 import pyspark.sql.functions as F
 
 from kinfold.llm.common import cut, numbered, pick, position, row_key, slices, word_hashes
+from kinfold.operators.graph import connected_components
 
 BUCKETS = 128
 MANTISSA = 10
@@ -215,22 +216,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each is linked to. Rounds of large-star and small-star."""
-    e = cut(edges.select("a", "b").where("a <> b").distinct())
-    while True:
-        both = e.union(e.select("b", "a"))
-        near = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.collect_set("b").alias("vs"))
-        near = near.withColumn("m", F.least("u", "m"))
-        large = near.select("m", "u", F.explode("vs").alias("v")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        low = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.collect_set("b").alias("vs"))
-        small = low.select("m", F.explode(F.array_union("vs", F.array("u"))).alias("v")).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        new = cut(small)
-        # A fixed point is a forest of stars: no node has two centres and no centre has one.
-        again = new.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).union(new.select("b").distinct().join(new.select(F.col("a").alias("b")), "b", "left_semi").select("b", F.lit(1)).limit(1))
-        if not again.head(1):
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root")).union(new.select("b", "b").distinct())
-        e = new
+    """(node, root): the least node that each is linked to. No step gathers a node's neighbours."""
+    e = cut(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id"))
+    return connected_components(nodes, e).select(F.col("id").alias("node"), F.col("component").alias("root"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.55, size: int = 3, rows: int = 4, slack: float = 0.15) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,28 @@ def slices(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int | None = 1_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same Arrow function over batches cut to `rows` rows, so that few texts are Python strings
+    at once. When its task ends, the worker, which Spark keeps, gives memory back to the system."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, rows or max(1, b.num_rows)):
+                yield b.slice(i, rows or b.num_rows)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(small(batches))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -201,7 +225,7 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int = BUCKETS) -> tuple
             total[size] += len(texts)
         yield pieces(total)
 
-    total = summed(pick(docs, text=text).where("text IS NOT NULL").mapInArrow(count, "at int, cells binary"), (size + 1,))
+    total = summed(pick(docs, text=text).where("text IS NOT NULL").mapInArrow(lean(count), "at int, cells binary"), (size + 1,))
     return total[:size], int(total[size])
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import WORD, Terms, cut, pick, pieces, slices, summed
+from kinfold.llm.common import WORD, Terms, cut, pick, pieces, slices, summed, lean
 
 
 class Vocabulary:
@@ -39,7 +39,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 c.update(WORD.findall(t.lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
-    return pick(docs, text=text).where("text IS NOT NULL").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return pick(docs, text=text).where("text IS NOT NULL").mapInArrow(lean(run, None), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _most_frequent(counts: DataFrame, terms: int) -> list[Row]:
@@ -77,7 +77,7 @@ def vocabulary(docs: DataFrame, text: str = "text", terms: int = 32_768, shared:
             total += np.bincount(at, b.column("n").to_numpy(), minlength=shared)
         yield pieces(np.stack([types, total], axis=1))
 
-    both = summed(rest.mapInArrow(hashed, "at int, cells binary"), (shared, 2))
+    both = summed(rest.mapInArrow(lean(hashed, None), "at int, cells binary"), (shared, 2))
     return Vocabulary([r["word"] for r in top], both[:, 0]), np.concatenate([both[:, 1], [r["n"] for r in top]])
 
 
@@ -95,7 +95,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text", doc_id: str
                 cells = [None if t is None else at[ends[k] : ends[k + 1]].tobytes() for k, t in enumerate(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(cells, pa.binary())], names=["doc_id", "symbols"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, symbols binary")
+    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, symbols binary")
 
 
 class HiddenMarkov:
@@ -209,7 +209,7 @@ def train(corpus: DataFrame, counts: np.ndarray, states: int = 8, rounds: int =
             if total.any():
                 yield pieces(total)
 
-        got = summed(corpus.select("symbols").mapInArrow(step, "at int, cells binary"), (size + states + 2, states))
+        got = summed(corpus.select("symbols").mapInArrow(lean(step, None), "at int, cells binary"), (size + states + 2, states))
         logs.append(float(got[-1, 0]))
         emit = got[:size] + 0.01
         move = got[size : size + states] + 0.1
@@ -247,7 +247,7 @@ def scored(corpus: DataFrame, model: HiddenMarkov, vocab: Vocabulary) -> DataFra
                 names=["doc_id", "n_words", "log_likelihood", "perplexity"],
             )
 
-    return corpus.mapInArrow(run, f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
+    return corpus.mapInArrow(lean(run), f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
 
 
 def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = 8, rounds: int = 3, terms: int = 32_768, shared: int = 4_096, seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import BUCKETS, Terms, bucket_frequencies, cut, idf, pick, slices, words
+from kinfold.llm.common import BUCKETS, Terms, bucket_frequencies, cut, idf, pick, slices, words, lean
 
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'This software is licensed under Apache License 2.0, to be used in compliance with its terms'],
@@ -119,7 +119,7 @@ def license_texts(files: DataFrame, path: str = "path", text: str = "text", doc_
                 )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    own = d.mapInArrow(run, f"doc_id {kind}, path string, license string, cosine double, line string, entire boolean")
+    own = d.mapInArrow(lean(run), f"doc_id {kind}, path string, license string, cosine double, line string, entire boolean")
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     return own.select("doc_id", "path", "license", "cosine", "line", (F.col("license").isNotNull() & (F.col("entire") | named)).alias("licence_file"))
 

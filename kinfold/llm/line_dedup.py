@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import cut, numbered, pick, position, row_key
+from kinfold.llm.common import cut, numbered, pick, position, row_key, lean
 
 SLOTS = 4
 KICKS = 500
@@ -157,7 +157,7 @@ def combine(lines: DataFrame, shards: int) -> DataFrame:
                 names=["shard", "gone", "h1", "h2", "refs", "id", "k1", "k2", "n"],
             )
 
-    return lines.mapInArrow(run, "shard int, gone boolean, h1 bigint, h2 bigint, refs bigint, id bigint, k1 bigint, k2 bigint, n int")
+    return lines.mapInArrow(lean(run, None), "shard int, gone boolean, h1 bigint, h2 bigint, refs bigint, id bigint, k1 bigint, k2 bigint, n int")
 
 
 def _tagged(kind: str, shard: int, rows: int, **columns: np.ndarray) -> pa.Table:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import cut, numbered, pick, position, row_key, slices, word_hashes
+from kinfold.llm.common import cut, numbered, pick, position, row_key, slices, word_hashes, lean
 from kinfold.operators.graph import connected_components
 
 BUCKETS = 128
@@ -108,7 +108,7 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
 
     d = pick(docs, id=doc_id, text=text).where("text IS NOT NULL")
     d = d.select(*[k.alias(n) for k, n in zip(row_key(F.col("id"), F.col("text")), ("k1", "k2"), strict=True)], F.col("id").cast("bigint"), "text")
-    return d.mapInArrow(run, "k1 bigint, k2 bigint, id bigint, reg binary")
+    return d.mapInArrow(lean(run), "k1 bigint, k2 bigint, id bigint, reg binary")
 
 
 def band_rows(heads: DataFrame, rows: int) -> DataFrame:
@@ -126,7 +126,7 @@ def band_rows(heads: DataFrame, rows: int) -> DataFrame:
             head = np.repeat(b.column("head").to_numpy(), h.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(h.reshape(-1).view(np.int64))], names=["head", "band"])
 
-    return heads.select("head", "reg").mapInArrow(run, "head bigint, band bigint")
+    return heads.select("head", "reg").mapInArrow(lean(run), "head bigint, band bigint")
 
 
 def _leaders(t: pa.Table, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,9 +210,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(near).filter(ok)], names=["a", "b", "jaccard"])
 
     members = pairs.select(F.explode(F.array("a", "b")).alias("head")).distinct()
-    held = cut(texts.join(members, "head", "left_semi").mapInArrow(sets, "head bigint, cells binary"))
+    held = cut(texts.join(members, "head", "left_semi").mapInArrow(lean(sets), "head bigint, cells binary"))
     x, y = held.toDF("a", "x"), held.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a bigint, b bigint, jaccard double")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(lean(check), "a bigint, b bigint, jaccard double")
 
 
 def components(edges: DataFrame) -> DataFrame:

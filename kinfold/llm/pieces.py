@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from kinfold.llm.common import pick, slices
+from kinfold.llm.common import pick, slices, lean
 
 BAR = "▁"
 END = -1
@@ -498,7 +498,7 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
             n.append(len(one[0]["ids"]) // 4)
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(exact, pa.bool_()), pa.array(samples, sampled)], names=["doc_id", "n_pieces", "exact", "samples"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, exact boolean, samples array<struct<ids: binary, log_prob: double, key: double, inclusion: double>>")
+    return d.mapInArrow(lean(run, None), f"doc_id {kind}, n_pieces bigint, exact boolean, samples array<struct<ids: binary, log_prob: double, key: double, inclusion: double>>")
 
 
 def sample_texts(lattice: Lattice, texts: list[str | None], seeds: list[int], k: int) -> list[list[tuple[np.ndarray | None, float, float]]]:

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import pick, slices
+from kinfold.llm.common import pick, slices, lean
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
@@ -182,7 +182,7 @@ def token_counts(docs: DataFrame, ranks_path: str, text: str = "text", doc_id: s
                 )
 
     schema = f"doc_id {kind.simpleString()}, n_tokens bigint, {''.join(f'fit_{m} bigint, ' for m in budgets)}prefix_counts binary"
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(lean(run), schema)
 
 
 def truncated(docs: DataFrame, counts: DataFrame, budget: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -196,4 +196,4 @@ def truncated(docs: DataFrame, counts: DataFrame, budget: int, text: str = "text
 
     d = pick(docs, doc_id=doc_id, text=text)
     both = d.join(counts.select(F.col("doc_id"), "prefix_counts"), "doc_id")
-    return both.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")
+    return both.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import WORD, idf, lowest, numbered, pick, position, words
+from kinfold.llm.common import WORD, idf, lowest, numbered, pick, position, words, lean
 
 BLOCK = 64
 
@@ -253,7 +253,7 @@ def lexicon_counts(docs: DataFrame, lexicon: Sequence[str], text: str = "text")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    rows = pick(docs, text=text).where("text IS NOT NULL").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = pick(docs, text=text).where("text IS NOT NULL").mapInArrow(lean(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(lexicon) + 1, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             b = b.append_column("g", pa.array([_group(w) if w else None for w in found], pa.int64()))
             yield b.filter(b.column("g").is_valid())
 
-    told_texts = texts.select(F.col("id").cast("bigint"), (F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(grouped, "id bigint, y int, text string, g bigint")
+    told_texts = texts.select(F.col("id").cast("bigint"), (F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(lean(grouped), "id bigint, y int, text string, g bigint")
     held = told_texts.groupBy("g", "y").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("e")).select("e.id", "y", "e.text").persist()
     total = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                         toxic.update(own)
             yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[x] for x in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["term", "a", "m"])
 
-        seen = held.select("y", "text").mapInArrow(terms, "term string, a bigint, m bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m")).persist()
+        seen = held.select("y", "text").mapInArrow(lean(terms), "term string, a bigint, m bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m")).persist()
         tried = seen.count()
         n, a, m = float(pos + neg), F.col("a").cast("double"), F.col("m").cast("double")
         off = a * (neg - (m - a)) - (m - a) * (pos - a)  # determinant of the 2 x 2 table
@@ -312,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             found = [sorted(known.counts(t).items()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([[p for p, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["id", "y", "at", "n"])
 
-    rows = held.select("id", "y", "text").mapInArrow(counted, "id bigint, y int, at array<int>, n array<int>").orderBy("id", "y").collect()
+    rows = held.select("id", "y", "text").mapInArrow(lean(counted), "id bigint, y int, at array<int>, n array<int>").orderBy("id", "y").collect()
     held.unpersist()
     counts = np.zeros((len(rows), len(lexicon)))
     for i, r in enumerate(rows):
@@ -344,7 +344,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id:
             )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, score double, toxic boolean, terms array<string>, neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, score double, toxic boolean, terms array<string>, neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", reject: float = 0.5) -> DataFrame:
@@ -358,4 +358,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", reject
             yield b.filter(pa.array(stays, pa.bool_()))
 
     rows = numbered(docs)
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(lean(run), rows.schema).toDF(*docs.columns)

@@ -474,7 +474,7 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
         lattice = Lattice(model_path, theta)
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts], 1_500_000):
+            for i, j in slices([len(t or "") for t in texts], 1_000_000):
                 yield part(lattice, b.column("doc_id").slice(i, j - i), keys[i:j], texts[i:j])
 
     def part(lattice: Lattice, ids: pa.Array, keys: list, texts: list) -> pa.RecordBatch:
@@ -498,7 +498,7 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
             n.append(len(one[0]["ids"]) // 4)
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(exact, pa.bool_()), pa.array(samples, sampled)], names=["doc_id", "n_pieces", "exact", "samples"])
 
-    return d.mapInArrow(lean(run, None), f"doc_id {kind}, n_pieces bigint, exact boolean, samples array<struct<ids: binary, log_prob: double, key: double, inclusion: double>>")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, n_pieces bigint, exact boolean, samples array<struct<ids: binary, log_prob: double, key: double, inclusion: double>>")
 
 
 def sample_texts(lattice: Lattice, texts: list[str | None], seeds: list[int], k: int) -> list[list[tuple[np.ndarray | None, float, float]]]:

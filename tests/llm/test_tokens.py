@@ -206,6 +206,18 @@ def test_leaks_are_found_and_clean_rows_stay(spark):
     assert len({(r.doc_id, r.item_id) for r in dec.leaks(d, low).collect()} & want) > 0
 
 
+@pytest.mark.parametrize(("n_items", "size"), [(2000, 38), (60, 250)])
+def test_many_and_long_items_are_all_found(spark, n_items, size):
+    r = random.Random(size)
+    vocab = [f"v{k}" for k in range(20_000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, text(size)) for i in range(n_items)]
+    d = docs(spark, [(i, f"{text(30)} {t} {text(30)}") for i, t in items])
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in dec.leaks(d, dec.Decontaminator(d, b)).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_decontamination_hard_rows(spark):
     d = odd(spark, [*HARD, (20, "alpha beta gamma delta epsilon zeta eta theta")])
     b = spark.createDataFrame([(1, None), (2, ""), (None, "x y z"), (3, "alpha beta gamma delta epsilon zeta eta theta"), (4, "!!")], "item_id bigint, text string")

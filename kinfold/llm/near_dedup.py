@@ -147,16 +147,21 @@ def _leaders(t: pa.Table, least: float) -> list[tuple[np.ndarray, np.ndarray, np
     return [(order[m[0]], head[m], e) for _, m, e in out]
 
 
-def candidates(heads: DataFrame, least: float, rows: int, chunk: int = 4096) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of sketches that share a band and are estimated near.
+def shared_bands(heads: DataFrame, rows: int) -> DataFrame:
+    """band, head, n: the bands that n > 1 sketches share."""
+    bands = band_rows(heads, rows)
+    size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return bands.join(size, "band").select("band", "head", "n")
+
+
+def candidates(heads: DataFrame, shared: DataFrame, least: float, chunk: int = 4096) -> DataFrame:
+    """Distinct pairs (a, b) of sketches, a leader of a band and one that is estimated near it.
 
     A band is clustered in parts of about `chunk` sketches, then its parts' leaders among
-    themselves, so a band that very many documents share needs no large task.
+    themselves, so a band that very many documents share needs no large task. These pairs link
+    most copies; `unlinked` gives those that remain.
     """
     schema = "a bigint, b bigint, lead boolean, band bigint, reg binary"
-    bands = band_rows(heads, rows)
-    size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = bands.join(size, "band")
     part = F.pmod(F.xxhash64("head"), F.ceil(F.col("n") / chunk)).cast("int")
     rich = shared.select("band", "head", "n", part.alias("part")).join(heads.select("head", "reg"), "head")
 
@@ -183,6 +188,42 @@ def candidates(heads: DataFrame, least: float, rows: int, chunk: int = 4096) ->
     return one.where("NOT lead").unionByName(two).select("a", "b").distinct()
 
 
+def unlinked(heads: DataFrame, shared: DataFrame, roots: DataFrame, least: float, chunk: int = 4096) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of sketches that share a band, are estimated near and aren't in
+    one component yet. `roots`: node, root; a sketch without one is its own.
+
+    Bands that lie in one component are passed over. A band of more than `chunk` sketches is
+    split in parts, and each two parts meet in a task of their own.
+    """
+    rooted = shared.join(roots, F.col("head") == F.col("node"), "left").select("band", "head", "n", F.coalesce("root", "head").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    own = rooted.join(mixed, "band").select("band", "head", "root", parts.alias("parts"), F.pmod(F.xxhash64("head"), parts).cast("int").alias("p"))
+    each = own.select("band", "head", "root", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    placed = each.select("band", "head", "root", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    rich = placed.join(heads.select("head", "reg"), "head")
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        _, root, size = np.unique(t.column("root").to_numpy(), return_inverse=True, return_counts=True)
+        order = np.lexsort((root, size[root]))  # the largest component last: its rows are only compared with others'
+        head, root, p = t.column("head").to_numpy()[order], root[order], t.column("p").to_numpy()[order]
+        reg = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)[order]
+        end = np.append(np.flatnonzero(np.diff(root)) + 1, len(root))
+        later = end[np.searchsorted(end, np.arange(len(root)), side="right")]
+        a, b = [], []
+        for k in range(len(root)):
+            rest = np.arange(later[k], len(root))
+            if i != j:
+                rest = rest[p[rest] != p[k]]
+            hit = rest[jaccard(reg[rest], reg[k]) >= least]
+            a.append(np.minimum(head[hit], head[k]))
+            b.append(np.maximum(head[hit], head[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rich.groupBy("band", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
     """The pairs whose shingle sets, taken from the whole texts, have Jaccard of the threshold or more.
 
@@ -227,7 +268,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
 
     Registers are made once a row; rows whose registers are equal are one sketch. Bands of `rows`
     registers give candidates, those estimated at `threshold - slack` or more are compared on
-    their exact sets of runs of `size` words, and the pairs that pass link groups. Of a group the
+    their exact sets of runs of `size` words, and the pairs that pass link groups: first pairs
+    with a leader of their band, then all others of a band that aren't linked yet. Of a group the
     row with the lowest doc_id stays (NULL last, ties by content); group_id is its doc_id. Rows
     with NULL text or no word are in no group; repeated equal rows are in one.
     """
@@ -236,13 +278,20 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     made = cut(rows_)
     same = made.groupBy("reg").agg(F.min(head).alias("h"), F.count(F.lit(1)).alias("n"))
     heads = cut(same.select(F.xxhash64("reg").alias("head"), "reg", "h", "n"))
-    pairs = cut(candidates(heads, threshold - slack, rows))
+    shared = cut(shared_bands(heads, rows))
     first = heads.select(F.col("h.k1").alias("k1"), F.col("h.k2").alias("k2"), "head")
     d = pick(docs, id=doc_id, text=text).where("text IS NOT NULL")
     keyed = d.select(*[k.alias(n) for k, n in zip(row_key(F.col("id"), F.col("text")), ("k1", "k2"), strict=True)], "text")
-    asked = first.join(pairs.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
-    texts = keyed.join(asked, ["k1", "k2"]).dropDuplicates(["head"]).select("head", "text")
-    links = components(verified(pairs, texts, threshold, size))
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        asked = first.join(pairs.select(F.explode(F.array("a", "b")).alias("head")).distinct(), "head", "left_semi")
+        texts = keyed.join(asked, ["k1", "k2"]).dropDuplicates(["head"]).select("head", "text")
+        return verified(pairs, texts, threshold, size).select("a", "b")
+
+    near = cut(passed(cut(candidates(heads, shared, threshold - slack))))
+    roots = cut(components(near))
+    more = passed(cut(unlinked(heads, shared, roots, threshold - slack)))
+    links = components(near.unionByName(more))
     rooted = heads.join(links, heads["head"] == links["node"], "left").select("reg", F.coalesce("root", "head").alias("root"), "n", "h")
     group = rooted.groupBy("root").agg(F.min("h").alias("best"), F.sum("n").alias("n")).where("n > 1")
     member = rooted.select("reg", "root").join(group, "root").select("reg", "best")

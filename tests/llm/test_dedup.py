@@ -129,6 +129,19 @@ def test_near_groups_like_brute_force(spark):
     assert kept == {i for i, _ in rows if got.get(i, i) == i}
 
 
+def test_near_pairs_in_a_family_are_not_swallowed(spark):
+    # All share a passage (J about 0.45); each two of a pair share more (J about 0.58).
+    rows = []
+    for g in range(150):
+        common = " ".join(f"s{k}" for k in range(124))
+        pair = " ".join(f"g{g}x{k}" for k in range(24))
+        rows += [(2 * g + c, f"{common} {pair} " + " ".join(f"g{g}c{c}x{k}" for k in range(52))) for c in range(2)]
+    want = near_brute(rows)
+    got = {r.doc_id: r.group_id for r in near_groups(docs(spark, rows)).collect()}
+    assert len(want) == len(rows) and set(got) <= set(want)
+    assert sum(got.get(i) == g for i, g in want.items()) >= 0.95 * len(want)
+
+
 def test_near_hard_rows(spark):
     out = near_dedup(odd(spark, HARD))
     ids = [r.doc_id for r in out.collect()]

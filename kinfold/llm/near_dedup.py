@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
-    """k1, k2 (row key), id, reg (registers) for each row with a word in it."""
+    """k1, k2 (row key), id, reg (registers) and digest (of its shingle set) for each row with a word in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,11 +105,13 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
                 reg = registers(h, row, j - i)
                 full = np.flatnonzero((reg != EMPTY).any(axis=1))
                 part = b.slice(i, j - i).take(pa.array(full))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("k1", "k2", "id")] + [pa.array([r.tobytes() for r in reg[full]], pa.binary())], names=["k1", "k2", "id", "reg"])
+                ends = np.searchsorted(row, np.arange(j - i + 1))
+                digest = [blake2b(np.unique(h[ends[k] : ends[k + 1]]).tobytes(), digest_size=16).digest() for k in full.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("k1", "k2", "id")] + [pa.array([r.tobytes() for r in reg[full]], pa.binary()), pa.array(digest, pa.binary())], names=["k1", "k2", "id", "reg", "digest"])
 
     d = pick(docs, id=doc_id, text=text).where("text IS NOT NULL")
     d = d.select(*[k.alias(n) for k, n in zip(row_key(F.col("id"), F.col("text")), ("k1", "k2"), strict=True)], F.col("id").cast("bigint"), "text")
-    return d.mapInArrow(lean(run), "k1 bigint, k2 bigint, id bigint, reg binary")
+    return d.mapInArrow(lean(run), "k1 bigint, k2 bigint, id bigint, reg binary, digest binary")
 
 
 def band_rows(heads: DataFrame, rows: int) -> DataFrame:
@@ -266,7 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.55, size: int = 3, rows: int = 4, slack: float = 0.15) -> DataFrame:
     """k1, k2, doc_id, group_id, keep: the rows that have a near copy, by group.
 
-    Registers are made once a row; rows whose registers are equal are one sketch. Bands of `rows`
+    Registers are made once a row; rows whose sets of runs of `size` words are equal, by a digest of
+    128 bits, are one sketch. Sets that only agree in their registers are compared as others are. Bands of `rows`
     registers give candidates, those estimated at `threshold - slack` or more are compared on
     their exact sets of runs of `size` words, and the pairs that pass link groups: first pairs
     with a leader of their band, then all others of a band that aren't linked yet. Of a group the
@@ -276,8 +280,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     rows_ = sketch(docs, text, doc_id, size)
     head = F.struct(F.col("id").isNull(), "id", "k1", "k2")
     made = cut(rows_)
-    same = made.groupBy("reg").agg(F.min(head).alias("h"), F.count(F.lit(1)).alias("n"))
-    heads = cut(same.select(F.xxhash64("reg").alias("head"), "reg", "h", "n"))
+    same = made.groupBy("digest", "reg").agg(F.min(head).alias("h"), F.count(F.lit(1)).alias("n"))
+    heads = cut(same.select(F.xxhash64("digest").alias("head"), "digest", "reg", "h", "n"))
     shared = cut(shared_bands(heads, rows))
     first = heads.select(F.col("h.k1").alias("k1"), F.col("h.k2").alias("k2"), "head")
     d = pick(docs, id=doc_id, text=text).where("text IS NOT NULL")
@@ -292,10 +296,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     roots = cut(components(near))
     more = passed(cut(unlinked(heads, shared, roots, threshold - slack)))
     links = components(near.unionByName(more))
-    rooted = heads.join(links, heads["head"] == links["node"], "left").select("reg", F.coalesce("root", "head").alias("root"), "n", "h")
+    rooted = heads.join(links, heads["head"] == links["node"], "left").select("digest", F.coalesce("root", "head").alias("root"), "n", "h")
     group = rooted.groupBy("root").agg(F.min("h").alias("best"), F.sum("n").alias("n")).where("n > 1")
-    member = rooted.select("reg", "root").join(group, "root").select("reg", "best")
-    return made.join(member, "reg").select(
+    member = rooted.select("digest", "root").join(group, "root").select("digest", "best")
+    return made.drop("reg").join(member, "digest").select(
         "k1", "k2", F.col("id").alias("doc_id"), F.col("best.id").alias("group_id"),
         ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("keep"),
     )

@@ -142,6 +142,15 @@ def test_near_pairs_in_a_family_are_not_swallowed(spark):
     assert sum(got.get(i) == g for i, g in want.items()) >= 0.95 * len(want)
 
 
+def test_near_short_texts_with_equal_registers_are_no_copies(spark):
+    texts = [f"a{i} b{i} c{i}" for i in range(6000)]
+    regs = [r.tobytes() for r in registers(*shingles(texts, 3), len(texts))]
+    texts = [t for t, r in zip(texts, regs, strict=True) if regs.count(r) > 1][:12]
+    assert len(texts) > 3
+    rows = [*enumerate(texts), (9000, texts[0])]
+    assert {r.doc_id: r.group_id for r in near_groups(docs(spark, rows)).collect()} == {0: 0, 9000: 0}
+
+
 def test_near_hard_rows(spark):
     out = near_dedup(odd(spark, HARD))
     ids = [r.doc_id for r in out.collect()]

@@ -50,36 +50,90 @@ class Templates:
             for w, c in r.items():
                 self.rows[i, place[w]] = c * self.weights[BUCKETS + place[w]]
         self.rows /= np.linalg.norm(self.rows, axis=1, keepdims=True)
+        self.size = np.array([sum(r.values()) for r in rows], np.int64)
+        # What one occurrence of a word adds to each template's inner product with a text.
+        self.gain = self.rows * self.weights[BUCKETS:]
+
+    def cosines(self, at: np.ndarray, own: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Units (own: each word's unit, of n) that may reach `least`, and their exact cosines with all
+        templates. The templates' words have a share of a unit's squared norm that is no less than
+        its squared cosine with any of them, so units under least squared are passed over."""
+        key = own * np.int64(len(self.weights)) + at
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        c = np.diff(np.append(first, len(key)))
+        unit, term = key[first] // len(self.weights), key[first] % len(self.weights)
+        w = c * self.weights[term]
+        known = term >= BUCKETS
+        norm = np.bincount(unit, w * w, n)
+        may = np.bincount(unit[known], w[known] ** 2, n) >= least**2 * norm * (1 - 1e-9)
+        hit = np.flatnonzero(may & (norm > 0))
+        place = np.full(n, -1)
+        place[hit] = np.arange(len(hit))
+        on = known & (place[unit] >= 0)
+        unit, term, w = place[unit[on]], term[on] - BUCKETS, w[on]
+        dot = np.zeros((len(hit), len(self.rows)))
+        heads = np.flatnonzero(np.diff(unit, prepend=-1))
+        for i in range(0, len(heads), 4096):
+            some = heads[i : i + 4096]
+            end = heads[i + 4096] if i + 4096 < len(heads) else len(unit)
+            s = slice(some[0], end)
+            dot[unit[some]] = np.add.reduceat(w[s, None] * self.rows[:, term[s]].T, some - some[0])
+        return hit, dot / np.sqrt(norm[hit])[:, None]
 
     def best(self, at: np.ndarray, n: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
         """For each text (words end to end, counts) with a cosine of `least` or more: it and the
-        template, the first of equal ones. The templates' share in a text's squared norm bounds its
-        squared cosine but for repeated words; texts under half the bound are passed over."""
+        template, the first of equal ones."""
         if not len(at):
             return {}
+        hit, cos = self.cosines(at, np.repeat(np.arange(len(n)), n), len(n), least)
+        top = np.round(cos, 12).argmax(axis=1) if len(hit) else np.empty(0, np.int64)
+        return {i: (float(cos[k, t]), int(t)) for k, (i, t) in enumerate(zip(hit.tolist(), top.tolist(), strict=True)) if cos[k, t] >= least}
+
+    def windows(self, at: np.ndarray, n: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int, int]]:
+        """(text, cosine, template, first word, end) for each run of words as long as a template, at
+        any place of a text, whose cosine with it is `least` or more: notices wrapped over lines.
+
+        The inner product with one template is a difference of two running sums; so is a bound of
+        the norm, which repeated words only raise. Runs that reach `least` by it are compared exactly.
+        """
         inside = at >= BUCKETS
-        w2 = self.weights[at] ** 2
-        own = np.repeat(np.arange(len(n)), n)
-        every = np.bincount(own, w2, len(n))
-        hit = np.flatnonzero(np.bincount(own, w2 * inside, len(n)) >= np.maximum(0.5 * least**2 * every, 1e-12))
-        ends = np.append(0, np.cumsum(n))
-        out = {}
-        for i in hit.tolist():
-            u, c = np.unique(at[ends[i] : ends[i + 1]], return_counts=True)
-            w = c * self.weights[u]
-            known = u >= BUCKETS
-            cos = self.rows[:, u[known] - BUCKETS] @ w[known] / np.linalg.norm(w)
-            top = int(cos.argmax())
-            if cos[top] >= least:
-                out[i] = (float(cos[top]), top)
-        return out
+        if not inside.any():
+            return
+        w = self.weights[at]
+        energy = np.append(0, np.cumsum(w * w))
+        ends = np.cumsum(n)
+        last_of = np.repeat(ends, n)
+        row_of = np.repeat(np.arange(len(n)), n)
+        pos = np.flatnonzero(inside)
+        term = at[pos] - BUCKETS
+        for k, size in enumerate(self.size.tolist()):
+            gain = self.gain[k, term]
+            on = gain > 0
+            start = pos[on]
+            run = np.append(0, np.cumsum(gain[on]))
+            stop = np.minimum(start + size, last_of[start])
+            dot = run[np.searchsorted(start, stop)] - run[:-1]
+            near = dot >= least * np.sqrt(np.maximum(energy[stop] - energy[start], 1e-12)) * (1 - 1e-9)
+            for i, j in slices((stop - start)[near].tolist(), 1 << 20):
+                a, b = start[near][i:j], stop[near][i:j]
+                m = b - a
+                own = np.repeat(np.arange(len(a)), m)
+                flat = at[np.arange(len(own)) - (np.cumsum(m) - m)[own] + a[own]]
+                hit, cos = self.cosines(flat, own, len(a), least)
+                for x, c in zip(hit.tolist(), cos[:, k].tolist(), strict=True):
+                    if c >= least:
+                        yield int(row_of[a[x]]), c, k, int(a[x]), int(b[x])
 
 
 def license_texts(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: dict[str, list[str]] | None = None, header: float = 0.7, whole: float = 0.5) -> DataFrame:
     """doc_id, path, `license`, `cosine`, `line` (what matched) and `licence_file` for each row.
 
-    Each line of the text, and the text as a whole, is compared with each template; the best line
-    counts from `header` on. A licence file is one whose path is named like it, or whose whole text
+    Each line of the text, each run of words as long as a template (wherever it starts, so that
+    notices wrapped over lines are found) and the text as a whole are compared with each template.
+    The line or run with the greatest cosine counts from `header` on: a line before a run, the
+    first template and then the first place among equals; `line` is the line, or the lines that the
+    run touches with a space between. A licence file is one whose path is named like it, or whose whole text
     reaches `whole`. Document frequencies are over all rows.
     """
     model = Templates(templates or TEMPLATES, *bucket_frequencies(files, text))
@@ -90,34 +144,44 @@ def license_texts(files: DataFrame, path: str = "path", text: str = "text", doc_
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in slices([len(t or "") for t in texts], 2_000_000):
-                lines = [(t or "").split("\n") for t in texts[i:j]]
-                flat = [x for own in lines for x in own]
-                at, n = known.tokens(flat)
-                each = np.array([len(x) for x in lines])
-                first = np.append(0, np.cumsum(each))
-                found = model.best(at, n, header)
-                whole_n = np.add.reduceat(n, first[:-1]) if len(lines) else n
-                entire = model.best(at, whole_n, whole)
-                row_of = np.repeat(np.arange(len(lines)), each)
-                best: dict[int, tuple[float, int, int]] = {}
-                for k, (cos, top) in found.items():
-                    r = int(row_of[k])
-                    if r not in best or cos > best[r][0]:
-                        best[r] = (cos, top, k)
-                cells = []
-                for r in range(j - i):
-                    if r in best:
-                        cos, top, k = best[r]
-                        cells.append((model.names[top], cos, flat[k].strip(), r in entire))
-                    elif r in entire:
-                        cells.append((model.names[entire[r][1]], entire[r][0], None, True))
-                    else:
-                        cells.append((None, None, None, False))
+                cells = judged(known, [t or "" for t in texts[i:j]])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(i, j - i), b.column("path").slice(i, j - i), pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.float64()), pa.array([c[2] for c in cells], pa.string()), pa.array([c[3] for c in cells], pa.bool_())],
                     names=["doc_id", "path", "license", "cosine", "line", "entire"],
                 )
 
+    def judged(known: Terms, texts: list[str]) -> list[tuple[str | None, float | None, str | None, bool]]:
+        lines = [t.split("\n") for t in texts]
+        flat = [x for own in lines for x in own]
+        at, n = known.tokens(flat)
+        each = np.array([len(x) for x in lines])
+        first = np.append(0, np.cumsum(each))
+        whole_n = np.add.reduceat(n, first[:-1]) if len(lines) else n
+        row_of = np.repeat(np.arange(len(lines)), each)
+        entire = model.best(at, whole_n, whole)
+        best: dict[int, tuple[tuple[float, int, int, int], str]] = {}
+
+        def offer(r: int, rank: tuple[float, int, int, int], where: slice) -> None:
+            if r not in best or rank > best[r][0]:
+                best[r] = rank, " ".join(x.strip() for x in flat[where])
+
+        for k, (cos, top) in model.best(at, n, header).items():
+            offer(int(row_of[k]), (round(cos, 9), 1, -top, -k), slice(k, k + 1))
+        line_ends = np.cumsum(n)
+        for r, cos, top, start, stop in model.windows(at, whole_n, header):
+            a, z = np.searchsorted(line_ends, [start, stop - 1], side="right")
+            offer(r, (round(cos, 9), 0, -top, -start), slice(a, z + 1))
+        cells = []
+        for r in range(len(texts)):
+            if r in best:
+                (cos, _, top, _), line = best[r]
+                cells.append((model.names[-top], cos, line, r in entire))
+            elif r in entire:
+                cells.append((model.names[entire[r][1]], round(entire[r][0], 9), None, True))
+            else:
+                cells.append((None, None, None, False))
+        return cells
+
     kind = d.schema["doc_id"].dataType.simpleString()
     own = d.mapInArrow(lean(run), f"doc_id {kind}, path string, license string, cosine double, line string, entire boolean")
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))

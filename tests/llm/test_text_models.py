@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from kinfold.llm import toxicity as tox
 from kinfold.llm import url_filter
 from kinfold.llm.common import Terms, bucket_frequencies, pieces, summed, word_hashes, words
 from kinfold.llm.hmm import HiddenMarkov, encoded, lm_scores, train, vocabulary
-from kinfold.llm.licenses import TEMPLATES, ancestors, license_scan
+from kinfold.llm.licenses import TEMPLATES, ancestors, license_scan, license_texts
 
 from .helpers import HARD, docs, odd, prose
 
@@ -229,6 +231,63 @@ def test_url_features(spark):
     assert abs(f.entropy - -sum(x * math.log2(x) for x in p)) < 1e-9 and f.n_chars == len(u)
 
 
+def brute_features(u):
+    """The lexical features and suffixes of a URL, letter by letter."""
+    v = u.strip(" ")
+    rest, host = v, ""
+    m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//", v)
+    if m:
+        authority = re.split(r"[/?#]", v[m.end() :])[0]
+        rest = v[m.end() + len(authority) :]
+        host = authority.split("@", 1)[1] if "@" in authority else authority
+        host = host.split(":")[0].lower() if host and host[0] != ":" else ""
+        host = re.sub(r"^www\.|\.$", "", host)
+    path, _, query = re.split("#", rest)[0].partition("?")
+    n = len(v)
+    p = [v.count(c) / n for c in set(v)]
+    return {
+        "n_chars": n, "host_chars": len(host), "path_chars": len(path), "labels": len(host.split(".")), "depth": sum(x != "" for x in path.split("/")),
+        "digit_ratio": sum(c in "0123456789" for c in v) / n if n else 0.0, "hyphens": v.count("-"), "entropy": -sum(x * math.log2(x) for x in p), "params": sum(x != "" for x in query.split("&")),
+        "encoded": v.count("%"), "fragment": int("#" in v), "secure": int(v.lower().startswith("https:")),
+    }, host
+
+
+def test_url_features_and_rates_like_brute_force(spark):
+    import pyspark.sql.functions as F
+
+    r = random.Random(8)
+    made = sorted({f"{r.choice(['http', 'HTTPS', 'ftp'])}://{r.choice(['', 'www.', 'u@'])}{r.choice('abc')}.{r.choice(['x-y', 'z'])}.{r.choice(['com', 'co.uk'])}{r.choice(['', ':80'])}/{'/'.join(r.choice(['p', '', 'q%20', '7']) for _ in range(r.randrange(4)))}{r.choice(['', '?a=1&&b=2', '?'])}{r.choice(['', '#f'])}" for _ in range(150)} | {"", "plain", "//h/p", "http://", "/only/path?x=1", "http://é.de/ü"})
+    y = {u: int(r.random() < 0.5) for u in made}
+    got = {x.url: x for x in spark.createDataFrame([(u,) for u in made], "url string").select("url", url_filter.host_of(F.col("url")).alias("host"), *[c.alias(n) for n, c in url_filter.lexical(F.col("url")).items()]).collect()}
+    want = {u: brute_features(u) for u in made}
+    for u in made:
+        assert got[u].host == want[u][1], u
+        assert all(abs(got[u][k] - v) < 1e-9 for k, v in want[u][0].items()), (u, want[u], got[u])
+    # Rates that leave the own host out, from the counts of all hosts.
+    d = spark.createDataFrame([(u, float(v)) for u, v in y.items()], "url string, label double")
+    hosts = d.groupBy(url_filter.host_of(F.col("url")).alias("host")).agg(F.sum("label").alias("host_bad"), F.count(F.lit(1)).cast("double").alias("host_n"))
+    base = sum(y.values()) / len(y)
+    rows = url_filter._suffixes(url_filter._prepared(d, "url", "label").join(hosts, "host"), url_filter.suffix_counts(hosts), base, True).collect()
+    end = lambda h, k: ".".join(h.split(".")[-k:])
+    assert len(rows) == len(made)
+    for x in rows:
+        h = want[x.url][1]
+        for k in (1, 2, 3):
+            others = [v for u, v in y.items() if want[u][1] != h and end(want[u][1], k) == end(h, k)]
+            assert abs(x[f"rate{k}"] - (sum(others) + 4 * base) / (len(others) + 4)) < 1e-9
+            assert k == 1 or abs(x[f"seen{k}"] - math.log1p(len(others))) < 1e-9
+
+
+def test_url_filter_on_hosts_it_never_saw(spark):
+    r, rows = random.Random(9), []
+    for i in range(600):
+        bad = int(r.random() < 0.4)
+        rows.append((f"http://{'win-' * bad}{r.choice('abcdefgh')}{r.randrange(40)}.example.com/" + "/".join(str(r.randrange(10**6)) for _ in range(1 + 2 * bad)), bad))
+    assert url_filter.held_out_auc(spark.createDataFrame(rows, "url string, bad int"), trees=5) > 0.95
+    one = url_filter.held_out_auc(spark.createDataFrame([("http://a.b/", 0)], "url string, bad int"))
+    assert math.isnan(one)
+
+
 def test_lowest_rows_are_the_first_by_hash(spark):
     import pyspark.sql.functions as F
 
@@ -238,3 +297,59 @@ def test_lowest_rows_are_the_first_by_hash(spark):
     want = {r.id for r in df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id").limit(500).collect()}
     assert {r.id for r in lowest(df, "id", 500, 20_000).collect()} == want
     assert lowest(df, "id", 50_000, 20_000).count() == 20_000 and lowest(df.limit(0), "id", 5, 0).count() == 0
+
+
+def brute_licences(rows, templates, header=0.7, whole=0.5):
+    """Every line, every run of words and every whole text against every template, word by word."""
+    texts = [t or "" for t in rows]
+    df, n = Counter(w for t in texts for w in set(words(t))), len([t for t in rows if t is not None])
+    weigh = lambda ws: {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in Counter(ws).items()}
+
+    def cosine(a, b):
+        x, y = weigh(a), weigh(b)
+        return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())) if x and y else 0.0
+
+    known = [(name, words(t)) for name, ts in templates.items() for t in ts]
+    out = []
+    for t in texts:
+        every = words(t)
+        units = [(cosine(words(x), ws), name) for x in t.split("\n") for name, ws in known]
+        units += [(cosine(every[i : i + len(ws)], ws), name) for name, ws in known for i in range(len(every))]
+        best = max(units, default=(0, None))
+        if best[0] >= header:
+            out.append((round(best[0], 6), {name for c, name in units if c > best[0] - 1e-9}))
+        else:
+            c = max(((cosine(every, ws), name) for name, ws in known), default=(0, None))
+            out.append((round(c[0], 6), {c[1]}) if c[0] >= whole else (None, {None}))
+    return out
+
+
+def test_licences_like_brute_force(spark):
+    r, rows = random.Random(6), []
+    told = [(n, t) for n, ts in TEMPLATES.items() for t in ts]
+    for k in range(70):
+        name, t = told[k % len(told)]
+        ws = t.split()
+        if k % 3 == 1:  # wrapped over lines
+            size = r.randint(3, 8)
+            t = "\n".join(" ".join(ws[i : i + size]) for i in range(0, len(ws), size))
+        if k % 3 == 2:  # other words in it, repeated ones among them
+            for _ in range(1 + len(ws) // 3):
+                ws.insert(r.randrange(len(ws) + 1), r.choice(["same", "license", f"q{k}"]))
+            t = " ".join(ws)
+        rows.append((k, f"{prose(k, r.randint(0, 30), 2000)}{r.choice([' ', chr(10)])}{t}\n{prose(k + 500, r.randint(0, 60), 2000)}"))
+    rows += [(100, None), (101, ""), (102, "!!!"), (103, "license " * 300), (104, "Licensed under the MIT License. " * 60), (105, rows[0][1])]
+    d = spark.createDataFrame([(i, "p", t, "x", "y") for i, t in rows], "doc_id long, path string, text string, cosine string, folder string")
+    got = {x.doc_id: x for x in license_texts(d).collect()}
+    for (i, _), (cos, names) in zip(rows, brute_licences([t for _, t in rows], TEMPLATES), strict=True):
+        assert got[i].license in names and (cos is None) == (got[i].cosine is None), (i, got[i], cos, names)
+        assert cos is None or abs(got[i].cosine - cos) < 1e-5
+
+
+def test_wrapped_notices_are_found(spark):
+    mit, gpl = TEMPLATES["MIT"][2], TEMPLATES["GPL-3.0"][1]
+    wrap = lambda t, k: "\n".join(f"# {' '.join(t.split()[i : i + k])}" for i in range(0, len(t.split()), k))
+    rows = [(k, f"{wrap(t, k)}\n\n{prose(k, 1500, 3000)}") for k in (4, 7, 9) for t in (mit,)] + [(10 + k, f"{wrap(t, k)}\n\n{prose(k, 1500, 3000)}") for k in (4, 7, 9) for t in (gpl,)]
+    d = spark.createDataFrame([(i, f"a/{i}", t) for i, t in rows], "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in license_texts(d).collect()}
+    assert all(got[k] == "MIT" and got[10 + k] == "GPL-3.0" for k in (4, 7, 9))

@@ -4,50 +4,72 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 import pyspark.sql.functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kinfold.llm.common import WORD, idf, lowest, numbered, pick, position, words, lean
+from kinfold.llm.common import WORD, cut, idf, lowest, numbered, pick, position, words, lean
 
 BLOCK = 64
 
 
+class Sparse(NamedTuple):
+    """Rows of (term, value) cells, end to end: row i's are ends[i] to ends[i + 1], by term."""
+
+    ends: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Sequence[Sequence[tuple[int, float]]]) -> Sparse:
+        cells = [c for r in rows for c in sorted(r)]
+        return cls(np.cumsum([0, *map(len, rows)]), np.array([t for t, _ in cells], np.int64), np.array([v for _, v in cells], np.float64))
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+
+    def norms(self) -> np.ndarray:
+        return np.sqrt(np.bincount(self.row, self.value**2, len(self.ends) - 1))
+
+
 class BlockMaxIndex:
     """Inverted index of unit vectors whose postings lie in blocks with the greatest weight of each.
 
     Vectors are sorted, so that like ones share blocks. `search` visits blocks by their upper
     bound, the query times the blocks' greatest weights, and stops when no block left can reach the
-    k-th similarity. So it is exact. Equal vectors are held once, with their examples.
+    k-th similarity. So it is exact. Equal vectors are held once, with their examples. Only cells
+    that aren't zero take room.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, block: int = BLOCK):
-        """vectors: examples x terms. Examples of the zero vector are in no posting."""
-        norm = np.linalg.norm(vectors, axis=1)
-        on = norm > 0
-        unit = np.round(vectors[on] / norm[on, None], 9)
-        ids, labels = ids[on], labels[on]
-        order = np.lexsort((ids, *unit.T)) if len(unit) else np.empty(0, np.int64)
-        unit, self.ids, self.labels = unit[order], ids[order], labels[order]
-        new = np.ones(len(unit), bool)
-        if len(unit) > 1:
-            new[1:] = (unit[1:] != unit[:-1]).any(axis=1)
-        self.start = np.append(np.flatnonzero(new), len(unit))
-        distinct = unit[new]
+    def __init__(self, vectors: Sparse, terms: int, ids: np.ndarray, labels: np.ndarray, block: int = BLOCK):
+        """vectors: the examples', over so many terms. Examples of the zero vector are in no posting."""
+        norm = vectors.norms()
+        unit = np.round(vectors.value / np.maximum(norm, 1e-300)[vectors.row], 9)
+        on = np.flatnonzero(norm > 0)
+        cells = [tuple(zip(vectors.term[i:j].tolist(), unit[i:j].tolist(), strict=True)) for i, j in zip(vectors.ends[on].tolist(), vectors.ends[on + 1].tolist(), strict=True)]
+        rank = np.argsort(np.argsort(ids[on], kind="stable"), kind="stable")
+        order = sorted(range(len(on)), key=lambda i: (cells[i], rank[i]))
+        self.ids, self.labels = ids[on][order], labels[on][order]
+        new = np.array([k == 0 or cells[i] != cells[order[k - 1]] for k, i in enumerate(order)], bool)
+        self.start = np.append(np.flatnonzero(new), len(order)).astype(np.int64)
+        distinct = Sparse.of([cells[order[k]] for k in np.flatnonzero(new)])
         self.size = np.diff(self.start)
-        self.votes = np.add.reduceat(self.labels, self.start[:-1]) if len(distinct) else np.empty(0)
-        self.block, self.blocks = block, -(-len(distinct) // block)
-        terms = vectors.shape[1]
-        self.postings = []  # per term: places and weights by block bounds
+        self.votes = np.add.reduceat(self.labels, self.start[:-1]) if len(self.size) else np.empty(0)
+        self.block, self.blocks = block, -(-len(self.size) // block)
         self.most = np.zeros((terms, self.blocks))
+        np.maximum.at(self.most, (distinct.term, distinct.row // block), distinct.value)
+        by_term = np.argsort(distinct.term, kind="stable")
+        places, weights, heads = distinct.row[by_term], distinct.value[by_term], np.searchsorted(distinct.term[by_term], np.arange(terms + 1))
+        self.postings = []  # per term: places and weights, and block bounds in them
         for t in range(terms):
-            at = np.flatnonzero(distinct[:, t]) if len(distinct) else np.empty(0, np.int64)
-            w = distinct[at, t] if len(at) else np.empty(0)
-            np.maximum.at(self.most[t], at // block, w)
-            self.postings.append((at, w, np.searchsorted(at, np.arange(self.blocks + 1) * block)))
+            at = places[heads[t] : heads[t + 1]]
+            self.postings.append((at, weights[heads[t] : heads[t + 1]], np.searchsorted(at, np.arange(self.blocks + 1) * block)))
 
     def _scores(self, blocks: np.ndarray, terms: Sequence[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in these blocks that have a term, and their cosines."""
@@ -154,23 +176,23 @@ class ToxicityModel:
     A text's vector has its terms' TF-IDF and one more term that every text has once, whose weight
     is `common` times the examples' median norm: so one chance hit isn't as near to an example full
     of hits as their direction alone would have it. `share` weighs the classes' votes back to how
-    often they are labelled.
+    often they are labelled. `examples` are each example's (term, count) cells.
     """
 
-    def __init__(self, lexicon: list[str], weights: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int, share: tuple[float, float] = (1.0, 1.0), common: float = 0.75):
+    def __init__(self, lexicon: list[str], weights: np.ndarray, examples: list[list[tuple[int, int]]], ids: np.ndarray, labels: np.ndarray, k: int, share: tuple[float, float] = (1.0, 1.0), common: float = 0.75):
         self.lexicon, self.weights, self.k, self.share = lexicon, weights, k, share
         self.words = Lexicon(lexicon)
         labels = labels.astype(np.float64)
-        body = counts * weights if len(lexicon) else np.zeros((len(ids), 0))
-        norms = np.linalg.norm(body, axis=1)
+        body = [[(t, n * float(weights[t])) for t, n in row] for row in examples]
+        norms = Sparse.of(body).norms()
         self.common = common * float(np.median(norms[norms > 0])) if (norms > 0).any() else 1.0
-        self.index = BlockMaxIndex(np.hstack([body, np.full((len(ids), 1), self.common)]), ids, labels)
+        self.index = BlockMaxIndex(Sparse.of([[*row, (len(lexicon), self.common)] for row in body]), len(lexicon) + 1, ids, labels)
         each = np.where(labels > 0, share[1], share[0])
         self.base = float((each * labels).sum() / each.sum()) if len(labels) else 0.0
         self.found: dict[tuple, tuple] = {}
         self.told: dict[tuple, tuple] = {}
         # Calibration: each example is scored by the others.
-        raw = [self._vote(tuple((int(t), int(row[t])) for t in np.flatnonzero(row)), y) for row, y in zip(counts, labels, strict=True)]
+        raw = [self._vote(tuple(sorted(row)), y) for row, y in zip(examples, labels, strict=True)]
         self.steps, self.levels = _isotonic(np.array(raw), labels, each) if raw else (np.zeros(1), np.zeros(1))
         self.found = {}
 
@@ -225,15 +247,15 @@ class ToxicityModel:
         out: list[dict] = []
         for c in np.unique(-cos):
             own = np.concatenate([np.arange(self.index.start[p], self.index.start[p + 1]) for p in place[cos == -c]])
-            for e in own[np.argsort(self.index.ids[own], kind="stable")][: most - len(out)]:
-                out.append({"doc_id": int(self.index.ids[e]), "toxic": int(self.index.labels[e]), "cosine": float(-c)})
+            for e in own[np.argsort(self.index.ids[own], kind="stable")][: most - len(out)].tolist():
+                out.append({"doc_id": self.index.ids[e], "toxic": int(self.index.labels[e]), "cosine": float(-c)})
             if len(out) >= most:
                 break
         return [self.lexicon[t] for t, _ in q], out
 
 
 def _group(ws: list[str]) -> int:
-    """The least hash of runs of three words: near copies mostly share it."""
+    """The least hash of runs of three words, which near copies mostly share."""
     runs = zip(ws, ws[1:], ws[2:], strict=False) if len(ws) > 2 else [tuple(ws)]
     return min(xxhash.xxh3_64_intdigest(" ".join(r)) for r in runs) >> 1
 
@@ -260,19 +282,25 @@ def lexicon_counts(docs: DataFrame, lexicon: Sequence[str], text: str = "text")
     return out[:-1], int(out[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 15, per_class: int = 5_000, doubt: float = 0.01) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = 15, per_class: int = 5_000, doubt: float = 0.01, most_terms: int = 20_000) -> ToxicityModel:
     """The model from labelled rows.
 
     Examples are at most `per_class` labelled rows of each class, the lowest by hash of their id:
-    the documented bound of the training sample. Near copies among them count once. A term (a word
-    or a prefix) is in the lexicon if its presence tells the classes apart, by chi-square at `doubt` over the number
-    of terms tried. Document frequencies for TF-IDF are over the whole table. Labels or ids that
-    are NULL, and labelled ids without a text, are left out; a row with two labels is toxic if one is.
+    the documented bound of the training sample; all of them vote. A term (a word or a prefix) is in
+    the lexicon if its presence tells the classes apart, by chi-square at `doubt` over the number of
+    terms tried; of more than `most_terms` those of the greatest chi-square are, ties by term. For
+    chi-square, rows with the same least hash of three-word runs count as one, which has a term if
+    one of them has: so a passage that is copied often doesn't make a lexicon of its words.
+    Document frequencies for TF-IDF are over the whole table. Labels or ids that are NULL, and
+    labelled ids without a text or a word, are left out; a row with two labels is toxic if one is;
+    an id with several texts gives an example for each. Ids may be of any type that orders.
     """
     told = pick(labels, id=doc_id, y=label).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max(F.col("y").cast("int")).alias("y"))
     labelled = {r["y"]: r["n"] for r in told.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     some = lowest(told.where("y > 0"), "id", per_class, labelled.get(1, 0)).union(lowest(told.where("y <= 0"), "id", per_class, labelled.get(0, 0)))
-    texts = pick(docs, id=doc_id, text=text).where("text IS NOT NULL").join(F.broadcast(some), "id")  # at most 2 x per_class ids
+    d = pick(docs, id=doc_id, text=text)
+    kind = d.schema["id"].dataType.simpleString()
+    texts = d.where("text IS NOT NULL").join(F.broadcast(some), "id")  # at most 2 x per_class ids
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,31 +308,25 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             b = b.append_column("g", pa.array([_group(w) if w else None for w in found], pa.int64()))
             yield b.filter(b.column("g").is_valid())
 
-    told_texts = texts.select(F.col("id").cast("bigint"), (F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(lean(grouped), "id bigint, y int, text string, g bigint")
-    held = told_texts.groupBy("g", "y").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("e")).select("e.id", "y", "e.text").persist()
-    total = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = total.get(1, 0), total.get(0, 0)
+    held = cut(texts.select("id", (F.col("y") > 0).cast("int").alias("y"), "text").mapInArrow(lean(grouped), f"id {kind}, y int, text string, g bigint"))
+    totals = {r["y"]: (r["n"], r["m"]) for r in held.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("m")).collect()}
+    pos, neg = (totals.get(y, (0, 0))[1] for y in (1, 0))
     lexicon: list[str] = []
     if pos and neg:
 
         def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            every, toxic = Counter(), Counter()
             for b in batches:
-                for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                    own = {x for w in set(words(t)) for x in terms_of(w)}
-                    every.update(own)
-                    if y:
-                        toxic.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[x] for x in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["term", "a", "m"])
-
-        seen = held.select("y", "text").mapInArrow(lean(terms), "term string, a bigint, m bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m")).persist()
+                own = [sorted({x for w in set(words(t)) for x in terms_of(w)}) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), pa.array(own, pa.list_(pa.string()))], names=["g", "y", "terms"])
+
+        each = held.select("g", "y", "text").mapInArrow(lean(terms), "g bigint, y int, terms array<string>").select("g", "y", F.explode("terms").alias("term"))
+        seen = cut(each.distinct().groupBy("term").agg(F.count_if(F.col("y") == 1).alias("a"), F.count(F.lit(1)).alias("m")))
         tried = seen.count()
         n, a, m = float(pos + neg), F.col("a").cast("double"), F.col("m").cast("double")
         off = a * (neg - (m - a)) - (m - a) * (pos - a)  # determinant of the 2 x 2 table
         chi = F.try_divide(off * off * n, float(pos) * neg * m * (n - m))
         least = 2 * float(np.log(tried / doubt))
-        lexicon = sorted(r["term"] for r in seen.where((m > 1) & (chi >= least)).select("term").collect())
-        seen.unpersist()
+        lexicon = sorted(r["term"] for r in seen.where((m > 1) & (chi >= least)).orderBy(chi.desc(), "term").limit(most_terms).select("term").collect())
     known = Lexicon(lexicon)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,15 +334,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             found = [sorted(known.counts(t).items()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([[p for p, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], names=["id", "y", "at", "n"])
 
-    rows = held.select("id", "y", "text").mapInArrow(lean(counted), "id bigint, y int, at array<int>, n array<int>").orderBy("id", "y").collect()
-    held.unpersist()
-    counts = np.zeros((len(rows), len(lexicon)))
-    for i, r in enumerate(rows):
-        counts[i, r["at"]] = r["n"]
-    rates = [labelled.get(y, 0) / n if (n := total.get(y, 0)) else 0.0 for y in (0, 1)]
+    rows = held.select("id", "y", "text").mapInArrow(lean(counted), f"id {kind}, y int, at array<int>, n array<int>").orderBy("id", "y", "at", "n").collect()
+    rates = [labelled.get(y, 0) / n if (n := totals.get(y, (0, 0))[0]) else 0.0 for y in (0, 1)]
     share = (1.0, rates[1] / rates[0]) if rates[0] and rates[1] else (1.0, 1.0)
     df, texts_n = lexicon_counts(docs, lexicon, text) if lexicon else (np.empty(0), 0)
-    return ToxicityModel(lexicon, idf(df, texts_n), counts, np.array([r["id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.float64), k, share)
+    ids = np.empty(len(rows), object)
+    ids[:] = [r["id"] for r in rows]
+    return ToxicityModel(lexicon, idf(df, texts_n), [list(zip(r["at"], r["n"], strict=True)) for r in rows], ids, np.array([r["y"] for r in rows], np.float64), k, share)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id", reject: float = 0.5) -> DataFrame:
@@ -328,10 +348,12 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id:
     labelled `neighbours` (doc_id, toxic, cosine), one row for each row of the table.
 
     NULL text has a NULL score, isn't toxic and has no neighbours; a text without words or terms is
-    scored by the examples that have none, and shows no neighbours. Ties in similarity all vote. doc_id may be NULL or repeated. Empty table: no rows.
+    scored by the examples that have none, and shows no neighbours. Ties in similarity all vote.
+    doc_id may be NULL, repeated and of any type that orders, the same as the labels'. Repeated rows
+    get equal results. Empty table: no rows. Whole texts count, whatever their length.
     """
     d = pick(docs, doc_id=doc_id, text=text)
-    near = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+    near = pa.list_(pa.struct([("doc_id", to_arrow_type(d.schema["doc_id"].dataType)), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -344,7 +366,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id:
             )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(lean(run), f"doc_id {kind}, score double, toxic boolean, terms array<string>, neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, score double, toxic boolean, terms array<string>, neighbours array<struct<doc_id: {kind}, toxic: int, cosine: double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", reject: float = 0.5) -> DataFrame:

@@ -91,10 +91,14 @@ def test_toxicity_without_labels(spark):
     assert not any(r.toxic for r in tox.toxicity(d, one).collect())
 
 
+def sparse(v):
+    return tox.Sparse.of([[(int(t), float(x)) for t, x in enumerate(row) if x] for row in v])
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(3)
     v = r.random((700, 9)) * (r.random((700, 9)) < 0.4)
-    index = tox.BlockMaxIndex(v, np.arange(700), (r.random(700) < 0.5).astype(float), block=16)
+    index = tox.BlockMaxIndex(sparse(v), 9, np.arange(700), (r.random(700) < 0.5).astype(float), block=16)
     unit = v[np.linalg.norm(v, axis=1) > 0]
     unit = np.round(unit / np.linalg.norm(unit, axis=1)[:, None], 9)
     for k in (1, 5, 40):
@@ -105,6 +109,77 @@ def test_block_max_search_is_exact():
         _, cos = index.search(terms.tolist(), q[terms], k)
         want = np.sort(unit @ q)[::-1]
         assert abs(cos[0] - want[0]) < 1e-8 and abs(cos[-1] - want[k - 1]) < 1e-8
+    empty = tox.BlockMaxIndex(sparse(np.zeros((2, 3))), 3, np.arange(2), np.zeros(2))
+    assert len(empty.search([0], np.ones(1), 3)[0]) == 0
+
+
+def brute_toxicity(examples, labels, texts, terms, weights, k, common, share):
+    """Scores by cosine to every example, ties included, votes, leave-one-out calibration."""
+    def vector(t):
+        c = Counter(x for w in words(t) for x in tox.terms_of(w) if x in terms)
+        return {x: n * weights[x] for x, n in c.items()}
+
+    body = [vector(t) for t in examples]
+    norms = [math.sqrt(sum(v * v for v in x.values())) for x in body]
+    extra = common * float(np.median([n for n in norms if n]))
+    full = [{**x, "": extra} for x in body]
+    each = [share[int(y)] for y in labels]
+    base = sum(e * y for e, y in zip(each, labels, strict=True)) / sum(each)
+
+    def cosine(a, b):
+        return round(sum(v * b.get(x, 0) for x, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 9)
+
+    def vote(q, without=None):
+        cos = [cosine(q, x) for x in full]
+        least = sorted(cos, reverse=True)[min(k, len(cos)) - 1]
+        got = [(c, y) for c, y in zip(cos, labels, strict=True) if c >= least - 2e-9]
+        yes, no = sum(c * c * y for c, y in got), sum(c * c * (1 - y) for c, y in got)
+        if without is not None:
+            yes, no = yes - without, no - (1 - without)
+        return (yes * share[1] + base) / (yes * share[1] + no * share[0] + 1)
+
+    raw = [vote(q, y) for q, y in zip(full, labels, strict=True)]
+    # The greatest monotone fit: at x, the greatest mean from a to x's end over the least to any later one.
+    xs = sorted(set(raw))
+
+    def mean(i, j):
+        own = [(y, e) for r, y, e in zip(raw, labels, each, strict=True) if xs[i] <= r <= xs[j]]
+        return sum(y * e for y, e in own) / sum(e for _, e in own)
+
+    fit = [max(min(mean(i, j) for j in range(at, len(xs))) for i in range(at + 1)) for at in range(len(xs))]
+    out = []
+    for t in texts:
+        v = vote({**vector(t), "": extra})
+        below = [f for x, f in zip(xs, fit, strict=True) if x <= v + 1e-12]
+        out.append(below[-1] if below else fit[0])
+    return out
+
+
+def test_toxicity_like_brute_force(spark):
+    rows = toxic_rows(90, 3)
+    rows += [(200 + i, t, y) for i, (_, t, y) in enumerate(rows[:10])]  # repeated texts
+    rows += [(300 + i, rows[1][1], i % 2) for i in range(6)]  # equal texts with either label: ties vote
+    rows += [(400, "vile " * 3000, 1), (401, "plain words only", 0), (402, "vile", 0)]
+    labels = spark.createDataFrame([(f"d{i}", y) for i, _, y in rows], "doc_id string, toxic int")
+    d = spark.createDataFrame([(f"d{i}", t, "s", 1) for i, t, _ in rows] + [("new", "a vile and grotty thing", "s", 1), (None, "nothing", "s", 1)], "doc_id string, text string, y string, g int")
+    model = tox.train(d, labels, k=7, doubt=5.0)
+    assert len(model.index.ids) == len(rows) and {"vile", "grotty"} & set(model.lexicon)
+    texts = [t for _, t, _ in rows] + ["a vile and grotty thing", "nothing"]
+    df = Counter(x for t in texts for x in {x for w in words(t) for x in tox.terms_of(w)})
+    weights = {x: math.log((1 + len(texts)) / (1 + df[x])) + 1 for x in model.lexicon}
+    want = brute_toxicity([t for _, t, _ in rows], [y for *_, y in rows], texts, set(model.lexicon), weights, 7, 0.75, model.share)
+    got = {r.doc_id: r for r in tox.toxicity(d, model).collect()}
+    for i, w in zip([f"d{i}" for i, *_ in rows] + ["new", None], want, strict=True):
+        assert abs(got[i].score - w) < 1e-6, (i, got[i].score, w)
+    assert all(x.doc_id.startswith("d") for x in got["new"].neighbours)
+
+
+def test_toxicity_keeps_unlike_rows_with_one_hash_in_common(spark):
+    rows = [(i, f"one two three {prose(i, 30, 200)} {'vile' if i % 2 else 'calm'}", i % 2) for i in range(60)]
+    model = tox.train(docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    assert sorted(model.index.ids.tolist()) == list(range(60))
+    few = tox.train(docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"), most_terms=2, doubt=5.0)
+    assert len(few.lexicon) <= 2
 
 
 def brute_likelihood(model, seq):

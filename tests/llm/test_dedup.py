@@ -39,7 +39,7 @@ def test_exact_odd_columns_and_empty(spark):
 def brute_lines(rows):
     seen, out = set(), {}
     whole = set()
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0)):
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else type(rows[0][0])())):
         if t is None or not t.strip(" \t\r\x0b\x0c\n"):
             out.setdefault((i, t), []).append(t)
             continue
@@ -80,6 +80,47 @@ def test_line_index_takes_documents_back(spark):
     assert sum(r.refs for r in more.counts().collect()) == 7
 
 
+def test_line_index_gives_back_only_what_it_holds(spark, tmp_path):
+    a = docs(spark, [(1, "one\ntwo"), (2, "two\nthree"), (2, "two\nthree"), (5, None), (None, "x")])
+    index, _ = LineIndex(spark, 4).insert(a)
+    count = lambda i: sorted(r.refs for r in i.counts().collect())
+    assert count(index) == [1, 1, 2, 3]
+    for odd_ones in ([(99, "one\ntwo")], [(1, "one")], [(5, None)], []):  # not held: nothing changes
+        assert count(index.delete(docs(spark, odd_ones))) == [1, 1, 2, 3]
+    once = index.delete(docs(spark, [(2, "two\nthree"), (2, "two\nthree"), (2, "two\nthree"), (None, "x")]))
+    assert count(once) == [1, 1] and count(once.delete(docs(spark, [(2, "two\nthree")]))) == [1, 1]
+    index.save(f"{tmp_path}/index")
+    again = LineIndex.load(spark, f"{tmp_path}/index")
+    assert again.shards == index.shards and count(again.delete(a)) == [] and again.probe(docs(spark, [(7, "three")])).count() == 1
+    assert count(again.resharded(9)) == [1, 1, 2, 3] and again.resharded(9).probe(docs(spark, [(7, "three"), (8, "no")])).count() == 1
+    with pytest.raises(ValueError):
+        index.insert(a, keep=False)[0].delete(a)
+
+
+def test_line_index_grows(spark):
+    index = LineIndex(spark, 2, per_shard=50)
+    for k in range(2):
+        index, _ = index.insert(docs(spark, [(k * 100 + i, "\n".join(f"l{k} {i} {j}" for j in range(60))) for i in range(80)]))
+    assert index.shards >= 128 and index.counts().count() == 2 * 80 * 60
+    assert index.probe(docs(spark, [(0, "l0 3 4\nl1 7 59\nnew")])).count() == 2
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_lines_in_batches_and_with_text_ids(spark, batches):
+    rows = [(i, "\n".join(prose(i * 7 % 11 + j, 2, 6) for j in range(5))) for i in range(60)] + HARD
+    got = sorted(((r.doc_id, r.text) for r in dedup_lines(docs(spark, rows).repartition(3), batches=batches).collect()), key=str)
+    assert got == brute_lines(rows)
+    named = [(None if i is None else f"d{i:03}", t) for i, t in rows]
+    out = dedup_lines(spark.createDataFrame(named, "doc_id string, text string"), batches=batches).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == brute_lines(named)
+
+
+def test_lines_after_an_index(spark):
+    index, _ = LineIndex(spark, 4).insert(docs(spark, [(1, "old\nolder")]))
+    out = {r.doc_id: r.text for r in dedup_lines(docs(spark, [(2, "new\nold"), (3, "older"), (4, "new\nx")]), index=index).collect()}
+    assert out == {2: "new", 4: "x"}
+
+
 def test_cuckoo_filter_never_misses_and_forgets():
     keys = np.random.default_rng(0).integers(-(2**62), 2**62, 5000)
     f = CuckooFilter.of(keys)

@@ -74,23 +74,48 @@ def densify(reg: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chance() -> float:
-    """How often two registers of unlike sets agree, at like loads: HyperMinHash's collision term.
+#: The value that a register stands for, in the middle of its cell: a share of the bucket's range.
+VALUE = np.ones(1 << 16, np.float32)
+VALUE[: REST << MANTISSA] = [(1 + (r % (1 << MANTISSA) + 0.5) / (1 << MANTISSA)) * 2.0 ** -(r >> MANTISSA) / 2 for r in range(REST << MANTISSA)]
+STEPS = np.arange(-8, 25)  # loads in the table of collisions, as powers of two
 
-    A register splits its unit interval into cells (2^-(z+1), 2^-z] in 2^MANTISSA parts. For least
-    hashes that fall in one octave, 1 in 2^MANTISSA agree; the octaves of two such minima agree in
-    about a third of cases.
-    """
-    return 1 / 3 / 2**MANTISSA
+
+LOADS = 2.0 ** np.linspace(-12, 30, 1000)
+MEANS = -np.expm1(-LOADS) / LOADS  # of the least of a Poisson number of hashes, 1 for none
+
+
+def load(reg: np.ndarray) -> np.ndarray:
+    """Shingles a bucket, estimated from a row's registers: from the mean of the values they stand for."""
+    return np.interp(-VALUE[reg].mean(axis=-1, dtype=np.float64), -MEANS, LOADS)
+
+
+def _collisions() -> np.ndarray:
+    """How often registers of two sets without a common shingle agree, by the loads of either: for each
+    cell that a register tells apart, the chance that both least hashes fall in it."""
+    octave = np.arange(REST - 1)
+    edge = np.append(0, np.sort(np.concatenate([2.0 ** -(octave + 1) * (1 + m / 32) for m in range(32)] + [[1.0]])))
+    n = 2.0**STEPS
+    # Cells are summed 32 to an octave; within one, 2^MANTISSA / 32 cells share the chance evenly.
+    fall = np.diff(-np.exp(-n[:, None] * edge), axis=1)
+    return (fall @ fall.T) / (2**MANTISSA / 32)
+
+
+CHANCE = _collisions()
+
+
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of registers that agree by chance, for sets of these loads."""
+    i, j = (np.clip(np.rint(np.log2(np.maximum(x, 1e-9))) - STEPS[0], 0, len(STEPS) - 1).astype(np.int64) for x in (a, b))
+    return CHANCE[i, j]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def jaccard(a: np.ndarray, b: np.ndarray, loads: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Collision-corrected estimate for rows of registers: agreements over registers that either
-    has, less the share that agrees by chance."""
+    has, less the share that agrees by chance at the sets' sizes, which the registers give too."""
     used = (a != EMPTY) | (b != EMPTY)
     n = np.maximum(used.sum(axis=-1), 1)
     raw = ((a == b) & used).sum(axis=-1) / n
-    c = _chance()
+    c = chance(*(loads or (load(a), load(b))))
     return np.clip((raw - c) / (1 - c), 0, 1)
 
 
@@ -110,8 +135,8 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("k1", "k2", "id")] + [pa.array([r.tobytes() for r in reg[full]], pa.binary()), pa.array(digest, pa.binary())], names=["k1", "k2", "id", "reg", "digest"])
 
     d = pick(docs, id=doc_id, text=text).where("text IS NOT NULL")
-    d = d.select(*[k.alias(n) for k, n in zip(row_key(F.col("id"), F.col("text")), ("k1", "k2"), strict=True)], F.col("id").cast("bigint"), "text")
-    return d.mapInArrow(lean(run), "k1 bigint, k2 bigint, id bigint, reg binary, digest binary")
+    d = d.select(*[k.alias(n) for k, n in zip(row_key(F.col("id"), F.col("text")), ("k1", "k2"), strict=True)], "id", "text")
+    return d.mapInArrow(lean(run), f"k1 bigint, k2 bigint, id {d.schema['id'].dataType.simpleString()}, reg binary, digest binary")
 
 
 def band_rows(heads: DataFrame, rows: int) -> DataFrame:
@@ -139,10 +164,10 @@ def _leaders(t: pa.Table, least: float) -> list[tuple[np.ndarray, np.ndarray, np
     order = np.argsort(head, kind="stable")
     head = head[order]
     reg = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)[order]
-    left = np.arange(len(head))
+    left, n = np.arange(len(head)), load(reg)
     out = []
     while len(left):
-        near = jaccard(reg[left], reg[left[0]])
+        near = jaccard(reg[left], reg[left[0]], (n[left], n[left[0]]))
         hit = near >= least
         hit[0] = True
         out.append((head[left[0]], left[hit], near[hit]))
@@ -214,12 +239,12 @@ def unlinked(heads: DataFrame, shared: DataFrame, roots: DataFrame, least: float
         reg = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)[order]
         end = np.append(np.flatnonzero(np.diff(root)) + 1, len(root))
         later = end[np.searchsorted(end, np.arange(len(root)), side="right")]
-        a, b = [], []
+        a, b, n = [], [], load(reg)
         for k in range(len(root)):
             rest = np.arange(later[k], len(root))
             if i != j:
                 rest = rest[p[rest] != p[k]]
-            hit = rest[jaccard(reg[rest], reg[k]) >= least]
+            hit = rest[jaccard(reg[rest], reg[k], (n[rest], n[k])) >= least]
             a.append(np.minimum(head[hit], head[k]))
             b.append(np.maximum(head[hit], head[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -275,7 +300,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     their exact sets of runs of `size` words, and the pairs that pass link groups: first pairs
     with a leader of their band, then all others of a band that aren't linked yet. Of a group the
     row with the lowest doc_id stays (NULL last, ties by content); group_id is its doc_id. Rows
-    with NULL text or no word are in no group; repeated equal rows are in one.
+    with NULL text or no word are in no group; repeated equal rows are in one. Ids may be of any
+    type that orders; other columns don't matter; an empty table has no groups.
     """
     rows_ = sketch(docs, text, doc_id, size)
     head = F.struct(F.col("id").isNull(), "id", "k1", "k2")

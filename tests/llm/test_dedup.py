@@ -6,7 +6,7 @@ import pytest
 from kinfold.llm.common import words
 from kinfold.llm.exact_dedup import exact_dedup
 from kinfold.llm.line_dedup import CuckooFilter, LineIndex, dedup_lines
-from kinfold.llm.near_dedup import BUCKETS, jaccard, near_dedup, near_groups, registers, shingles
+from kinfold.llm.near_dedup import BUCKETS, chance, jaccard, load, near_dedup, near_groups, registers, shingles
 
 from .helpers import HARD, SCHEMA, docs, odd, prose
 
@@ -206,3 +206,24 @@ def test_registers_estimate_jaccard():
     both = [np.concatenate([common, x]) for x in (a, b)]
     reg = registers(np.concatenate(both), np.repeat([0, 1], 4000), 2)
     assert reg.shape == (2, BUCKETS) and abs(float(jaccard(reg[0], reg[1])) - 0.6) < 0.15
+
+
+def test_registers_give_sizes_and_chance_agreements():
+    r = np.random.default_rng(2)
+    for n, m in ((40, 40), (2_000, 2_000), (3_000, 90_000)):
+        rows = 300
+        reg = [registers(r.integers(0, 2**63, rows * k).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.repeat(np.arange(rows), k), rows) for k in (n, m)]
+        for x, k in zip(reg, (n, m), strict=True):
+            assert abs(load(x).mean() * BUCKETS / k - 1) < 0.1
+        used = (reg[0] != 0xFFFF) | (reg[1] != 0xFFFF)
+        agree = ((reg[0] == reg[1]) & used).sum() / used.sum()
+        assert abs(agree - chance(load(reg[0]), load(reg[1])).mean()) < 3e-4
+        assert jaccard(reg[0], reg[1]).mean() < 2e-3
+
+
+def test_near_groups_with_text_ids(spark):
+    base = prose(5, 100, 4000)
+    rows = [("b", base), ("a", base + " more"), ("c", prose(6, 100, 4000)), (None, base)]
+    out = {r.doc_id: (r.group_id, r.keep) for r in near_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out == {"a": ("a", True), "b": ("a", False), None: ("a", False)}
+    assert sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()) == ["a", "c"]

@@ -145,17 +145,18 @@ def _hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Terms:
     """Words to numbers: known terms have places of their own, after a fixed number of buckets for all others."""
 
-    def __init__(self, size: int, terms: Sequence[str] = ()):
-        self.size, self.terms = size, list(terms)
-        self.hash = _hashed([t.encode("utf-8", "surrogatepass") for t in self.terms])[0]
-        self.slots = 1 << max(10, (8 * len(self.terms)).bit_length())
-        self.head, self.next = np.full(self.slots, -1, np.int32), np.full(len(self.terms), -1, np.int32)
+    def __init__(self, size: int, terms: Sequence[str] = (), hashes: np.ndarray | None = None):
+        """The known terms, or their hashes as `word_hashes` makes them."""
+        self.size = size
+        self.hash = _hashed([t.encode("utf-8", "surrogatepass") for t in terms])[0] if hashes is None else hashes
+        self.slots = 1 << max(10, (8 * len(self.hash)).bit_length())
+        self.head, self.next = np.full(self.slots, -1, np.int32), np.full(len(self.hash), -1, np.int32)
         for i, slot in enumerate(((self.hash >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64).tolist()):
             self.next[i], self.head[slot] = self.head[slot], i
 
     def places(self, h: np.ndarray) -> np.ndarray:
         out = (h & np.uint64(self.size - 1)).astype(np.int32)
-        if not self.terms:
+        if not len(self.hash):
             return out
         at = self.head[((h >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)]
         left = np.flatnonzero(at >= 0)

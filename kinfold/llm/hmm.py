@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,40 +9,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import WORD, Terms, cut, pick, pieces, slices, summed, lean
+from kinfold.llm.common import Terms, cut, pick, pieces, slices, summed, word_hashes, lean
 
 
 class Vocabulary:
     """The corpus's most frequent words, a symbol each; the others share symbols by hash.
 
-    A word in a shared symbol has the symbol's probability over the number of distinct words that
-    the corpus has in it, plus one for words it doesn't have. So word probabilities sum to one.
+    A word in a shared symbol has its count's share of the symbol's probability: n / (total + 1),
+    the one being for all words that the corpus hasn't. So word probabilities sum to one, and the
+    table of counts, which has every word of the corpus, is part of the model (see `scored`). Words
+    are told apart by a hash of 64 bits.
     """
 
-    def __init__(self, terms: list[str], types: np.ndarray):
-        self.terms, self.types = terms, types
-        self.size = len(types) + len(terms)
-        self.within = np.concatenate([-np.log(types + 1.0), np.zeros(len(terms))])
+    def __init__(self, hashes: np.ndarray, total: np.ndarray, counts: DataFrame):
+        self.hashes, self.total, self.counts = hashes, total, counts
+        self.size = len(total) + len(hashes)
+        self.within = np.concatenate([-np.log(total + 1.0), np.zeros(len(hashes))])
 
-    def coder(self) -> Terms:
-        return Terms(len(self.types), self.terms)
 
+def _tallied(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    return h[first], np.add.reduceat(n[order], first) if len(h) else n
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, n: how often each word is in the whole table; combined in tasks before the shuffle."""
+
+def word_counts(docs: DataFrame, text: str = "text", most: int = 500_000) -> DataFrame:
+    """h, n: each word's hash and how often it is in the whole table. A task adds up its words, and
+    sends them when it has `most` different ones, so a frequent word is sent few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_h, held_n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+        def flush() -> pa.RecordBatch:
+            h, n = _tallied(np.concatenate(held_h), np.concatenate(held_n))
+            held_h[:], held_n[:] = [h], [n]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
         for b in batches:
-            c: Counter[str] = Counter()
-            for t in b.column("text").to_pylist():
-                c.update(WORD.findall(t.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+            texts = b.column("text").to_pylist()
+            for i, j in slices([len(t) for t in texts], 2_000_000):
+                h, n = np.unique(word_hashes(texts[i:j])[0], return_counts=True)
+                held_h.append(h)
+                held_n.append(n.astype(np.int64))
+                if sum(map(len, held_h)) > 2 * most:
+                    out = flush()
+                    if out.num_rows > most:
+                        held_h[:], held_n[:] = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                        yield out
+        yield flush()
 
-    return pick(docs, text=text).where("text IS NOT NULL").mapInArrow(lean(run, None), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return pick(docs, text=text).where("text IS NOT NULL").mapInArrow(lean(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _most_frequent(counts: DataFrame, terms: int) -> list[Row]:
-    """The words of the greatest counts, ties by word. Their number is cut first by a histogram of
+    """The words of the greatest counts, ties by hash. Their number is cut first by a histogram of
     sixteenths of an octave: so only they and the words of one class come to the driver, however many
     partitions there are."""
     octave = F.floor(F.log2("n") * 16).cast("int")
@@ -55,8 +75,8 @@ def _most_frequent(counts: DataFrame, terms: int) -> list[Row]:
             break
     rows = counts.where(octave >= least)
     edge = max(0, terms - (have - sizes.get(least, 0)))
-    above, last = rows.where(octave > least), rows.where(octave == least).orderBy(F.desc("n"), "word").limit(edge)
-    return sorted([*above.collect(), *last.collect()], key=lambda r: (-r["n"], r["word"].encode()))
+    above, last = rows.where(octave > least), rows.where(octave == least).orderBy(F.desc("n"), "h").limit(edge)
+    return sorted([*above.collect(), *last.collect()], key=lambda r: (-r["n"], r["h"]))
 
 
 def vocabulary(docs: DataFrame, text: str = "text", terms: int = 32_768, shared: int = 4_096) -> tuple[Vocabulary, np.ndarray]:
@@ -66,36 +86,39 @@ def vocabulary(docs: DataFrame, text: str = "text", terms: int = 32_768, shared:
         raise ValueError("shared must be a power of two, and no more than 65536 symbols in all")
     counts = cut(word_counts(docs, text))
     top = _most_frequent(counts, terms)
-    last = (top[-1]["n"], top[-1]["word"]) if top else (0, "")
-    rest = counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = np.zeros(shared), np.zeros(shared)
-        for b in batches:
-            at = Terms(shared, b.column("word").to_pylist()).hash.astype(np.int64) & (shared - 1)
-            types += np.bincount(at, minlength=shared)
-            total += np.bincount(at, b.column("n").to_numpy(), minlength=shared)
-        yield pieces(np.stack([types, total], axis=1))
-
-    both = summed(rest.mapInArrow(lean(hashed, None), "at int, cells binary"), (shared, 2))
-    return Vocabulary([r["word"] for r in top], both[:, 0]), np.concatenate([both[:, 1], [r["n"] for r in top]])
+    last = (top[-1]["n"], top[-1]["h"]) if top else (0, 0)
+    rest = counts.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("h") > last[1])))
+    symbol = F.col("h").bitwiseAND(F.lit(shared - 1))
+    total = np.zeros(shared)
+    for r in rest.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).collect():  # `shared` rows at most
+        total[r["s"]] = r["n"]
+    hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    return Vocabulary(hashes, total, rest), np.concatenate([total, [r["n"] for r in top]])
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the text's symbols as 16-bit numbers; NULL where the text is."""
+    """doc_id, the text's symbols as 16-bit numbers and the hashes of those of its words that share a
+    symbol, NULL where the text is; `rid` numbers the rows, once the table is checkpointed."""
     d = pick(docs, doc_id=doc_id, text=text)
+    shared, hashes = len(vocab.total), vocab.hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = vocab.coder()
+        coder = Terms(shared, hashes=hashes)
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in slices([len(t or "") for t in texts], 2_000_000):
-                at, n = coder.tokens([t or "" for t in texts[i:j]])
-                at, ends = at.astype(np.uint16), np.append(0, np.cumsum(n))
-                cells = [None if t is None else at[ends[k] : ends[k + 1]].tobytes() for k, t in enumerate(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(cells, pa.binary())], names=["doc_id", "symbols"])
+                h, n = word_hashes([t or "" for t in texts[i:j]])
+                at = coder.places(h).astype(np.uint16)
+                ends = np.append(0, np.cumsum(n))
+                own = at < coder.size
+                rare, rare_ends = h[own], np.append(0, np.cumsum(own))[ends]
+                none = [t is None for t in texts[i:j]]
+                cells = [None if x else at[ends[k] : ends[k + 1]].tobytes() for k, x in enumerate(none)]
+                others = [None if x else rare[rare_ends[k] : rare_ends[k + 1]].tobytes() for k, x in enumerate(none)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(cells, pa.binary()), pa.array(others, pa.binary())], names=["doc_id", "symbols", "rare"])
 
-    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, symbols binary")
+    made = d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, symbols binary, rare binary")
+    return made.withColumn("rid", F.monotonically_increasing_id())
 
 
 class HiddenMarkov:
@@ -184,11 +207,34 @@ def _sequences(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[tuple
         yield held, cells
 
 
-def train(corpus: DataFrame, counts: np.ndarray, states: int = 8, rounds: int = 3, segment: int = 256, seed: int = 0) -> tuple[HiddenMarkov, list[float]]:
+def _alike(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole texts, symbols end to end and lengths, in groups of about `budget` symbols whose lengths
+    are within a factor of four of each other: so few steps are made for few texts."""
+    held: dict[int, list[bytes]] = {}
+    size: dict[int, int] = {}
+
+    def taken(k: int) -> tuple[np.ndarray, np.ndarray]:
+        cells = held.pop(k)
+        size.pop(k)
+        return np.frombuffer(b"".join(cells), np.uint16).astype(np.int64), np.array([len(c) // 2 for c in cells], np.int64)
+
+    for b in batches:
+        for c in b.column("symbols").to_pylist():
+            if c:
+                k = (len(c) // 2).bit_length() // 2
+                held.setdefault(k, []).append(c)
+                size[k] = size.get(k, 0) + len(c) // 2
+                if size[k] >= budget:
+                    yield taken(k)
+    for k in sorted(held):
+        yield taken(k)
+
+
+def train(corpus: DataFrame, counts: np.ndarray, states: int = 8, rounds: int = 3, seed: int = 0) -> tuple[HiddenMarkov, list[float]]:
     """Baum-Welch over the encoded corpus, all of it in each round; the rounds' log likelihoods.
 
-    Texts are cut to sequences of `segment` words for training. Each task adds up its expected
-    counts and sends them once; their sums have a fixed size.
+    A text is one sequence, whatever its length. Each task adds up its expected counts and sends
+    them once; their sums have a fixed size.
     """
     model, logs, size = HiddenMarkov.fresh(counts, states, seed), [], len(counts)
 
@@ -197,19 +243,16 @@ def train(corpus: DataFrame, counts: np.ndarray, states: int = 8, rounds: int =
 
         def step(batches: Iterator[pa.RecordBatch], now: HiddenMarkov = now) -> Iterator[pa.RecordBatch]:
             total = np.zeros((size + states + 2, states))
-            for b in batches:
-                cells = [c for c in b.column("symbols").to_pylist() if c]
-                for i, j in slices([len(c) // 2 for c in cells], 400_000):
-                    for flat, n in _segments(cells[i:j], segment, 400_000):
-                        first, moves, emitted, log = now.counted(flat, n)
-                        total[:size] += emitted
-                        total[size : size + states] += moves
-                        total[-2] += first
-                        total[-1, 0] += log
+            for flat, n in _alike(batches, 400_000):
+                first, moves, emitted, log = now.counted(flat, n)
+                total[:size] += emitted
+                total[size : size + states] += moves
+                total[-2] += first
+                total[-1, 0] += log
             if total.any():
                 yield pieces(total)
 
-        got = summed(corpus.select("symbols").mapInArrow(lean(step, None), "at int, cells binary"), (size + states + 2, states))
+        got = summed(corpus.select("symbols").mapInArrow(lean(step), "at int, cells binary"), (size + states + 2, states))
         logs.append(float(got[-1, 0]))
         emit = got[:size] + 0.01
         move = got[size : size + states] + 0.1
@@ -218,18 +261,24 @@ def train(corpus: DataFrame, counts: np.ndarray, states: int = 8, rounds: int =
     return model, logs
 
 
-def _segments(cells: list[bytes], segment: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Symbols end to end and lengths of runs of at most `segment` symbols."""
-    each = [np.frombuffer(c, np.uint16) for c in cells]
-    flat = np.concatenate(each).astype(np.int64)
-    n = np.concatenate([np.append(np.full(len(x) // segment, segment), [len(x) % segment] if len(x) % segment else []).astype(np.int64) for x in each])
-    ends = np.append(0, np.cumsum(n))
-    for i, j in slices(n.tolist(), budget):
-        yield flat[ends[i] : ends[j]], n[i:j]
+def rare_logs(corpus: DataFrame, counts: DataFrame) -> DataFrame:
+    """rid, log_n: the sum of the logarithms of the counts of a row's words that share symbols, by a
+    join with the table of all counts. Such a word is less frequent than any with a symbol of its
+    own, so no key of the join is hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b.column("rare").to_pylist()
+            h = np.frombuffer(b"".join(cells), np.int64)
+            own = np.repeat(b.column("rid").to_numpy(), [len(c) // 8 for c in cells])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h)], names=["rid", "h"])
+
+    each = corpus.where("length(rare) > 0").select("rid", "rare").mapInArrow(lean(run), "rid bigint, h bigint")
+    return each.join(counts, "h").groupBy("rid").agg(F.round(F.sum(F.ln("n")), 6).alias("log_n"))
 
 
 def scored(corpus: DataFrame, model: HiddenMarkov, vocab: Vocabulary) -> DataFrame:
-    kind = corpus.schema["doc_id"].dataType.simpleString()
+    kind, within = corpus.schema["doc_id"].dataType.simpleString(), vocab.within
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, cells in _sequences(batches, 2_000_000):
@@ -237,26 +286,26 @@ def scored(corpus: DataFrame, model: HiddenMarkov, vocab: Vocabulary) -> DataFra
             flat = np.frombuffer(b"".join(c or b"" for c in cells), np.uint16)
             log = model.log_likelihood(flat, n)
             own = np.repeat(np.arange(len(n)), n)
-            log += np.bincount(own, vocab.within[flat], len(n)) if len(flat) else 0
+            log += np.bincount(own, within[flat], len(n)) if len(flat) else 0
             none = np.array([c is None for c in cells], bool)
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                perplexity = np.exp(-log / n)
-            ids = pa.chunked_array([b.column("doc_id") for b in held]).combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64(), mask=none), pa.array(log, pa.float64(), mask=none), pa.array(perplexity, pa.float64(), mask=none | (n == 0))],
-                names=["doc_id", "n_words", "log_likelihood", "perplexity"],
-            )
+            ids, rid = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in ("doc_id", "rid"))
+            yield pa.RecordBatch.from_arrays([ids, rid, pa.array(n, pa.int64(), mask=none), pa.array(log, pa.float64(), mask=none)], names=["doc_id", "rid", "n_words", "log"])
 
-    return corpus.mapInArrow(lean(run), f"doc_id {kind}, n_words bigint, log_likelihood double, perplexity double")
+    base = corpus.select("doc_id", "rid", "symbols").mapInArrow(lean(run), f"doc_id {kind}, rid bigint, n_words bigint, log double")
+    log = F.col("log") + F.coalesce("log_n", F.lit(0.0))
+    out = base.join(rare_logs(corpus, vocab.counts), "rid", "left").select("doc_id", "n_words", log.alias("log_likelihood"))
+    score = F.try_divide("log_likelihood", "n_words")
+    return out.select("*", F.exp(-score).alias("perplexity"), score.alias("score"))
 
 
 def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = 8, rounds: int = 3, terms: int = 32_768, shared: int = 4_096, seed: int = 0) -> DataFrame:
-    """doc_id, `n_words`, `log_likelihood` (natural, of the whole text's words) and `perplexity` a
-    word, one row for each row, by a model trained on the whole table.
+    """doc_id, `n_words`, `log_likelihood` (natural, of the whole text's words), `perplexity` a word
+    and `score`, the log likelihood a word, one row for each row, by a model trained on the whole table.
 
-    NULL text gives NULLs; a text without words has 0 words, log likelihood 0 and NULL perplexity.
-    doc_id may be NULL or repeated; equal texts get equal scores. Empty table: no rows. The encoded
-    corpus is written once as a checkpoint, which training and scoring read.
+    NULL text gives NULLs; a text without words has 0 words, log likelihood 0 and NULL perplexity
+    and score. doc_id may be NULL or repeated and of any type; equal texts get equal scores. Other
+    columns don't matter. Empty table: no rows. The encoded corpus is written once as a checkpoint,
+    which training and scoring read; so is the table of all words' counts.
     """
     vocab, counts = vocabulary(docs, text, terms, shared)
     corpus = cut(encoded(docs, vocab, text, doc_id))

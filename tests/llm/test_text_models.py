@@ -11,7 +11,7 @@ import pytest
 from kinfold.llm import toxicity as tox
 from kinfold.llm import url_filter
 from kinfold.llm.common import Terms, bucket_frequencies, pieces, summed, word_hashes, words
-from kinfold.llm.hmm import HiddenMarkov, encoded, lm_scores, train, vocabulary
+from kinfold.llm.hmm import HiddenMarkov, encoded, lm_scores, scored, train, vocabulary, word_counts
 from kinfold.llm.licenses import TEMPLATES, ancestors, license_scan, license_texts
 
 from .helpers import HARD, docs, odd, prose
@@ -217,13 +217,60 @@ def test_forward_and_counts_like_enumeration():
 def test_training_raises_likelihood_and_words_sum_to_one(spark):
     d = docs(spark, [(i, prose(i, 60, 80)) for i in range(60)])
     vocab, counts = vocabulary(d, terms=50, shared=16)
-    assert counts.sum() == 60 * 60 and len(vocab.terms) == 50
+    assert counts.sum() == 60 * 60 and len(vocab.hashes) == 50
     corpus = encoded(d, vocab)
     model, logs = train(corpus, counts, states=4, rounds=4)
     assert all(b >= a - 1e-3 * abs(a) for a, b in zip(logs[1:], logs[2:], strict=False))
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
 
 
+def test_scores_like_a_forward_pass_word_by_word(spark):
+    """Encoding, shared symbols' shares and the join, against one text and one word at a time."""
+    rows = [(i, prose(i, 5 + 40 * (i % 3), 300)) for i in range(50)] + [(60, "x"), (61, prose(3, 3000, 300)), (62, prose(3, 3000, 300))]
+    d = docs(spark, rows).repartition(3)
+    vocab, counts = vocabulary(d, terms=40, shared=8)
+    model, _ = train(encoded(d, vocab).cache(), counts, states=3, rounds=2)
+    got = {r.doc_id: r for r in scored(encoded(d, vocab).cache(), model, vocab).collect()}
+    n = Counter(w for _, t in rows for w in words(t))
+    h = {w: int(word_hashes([w])[0][0]) for w in n}
+    top = sorted(n, key=lambda w: (-n[w], np.uint64(h[w]).astype(np.int64)))[:40]
+    assert {h[w] for w in top} == set(vocab.hashes.tolist())
+    total = Counter()
+    for w in n:
+        if w not in top:
+            total[h[w] & 7] += n[w]
+    place = {x: 8 + k for k, x in enumerate(vocab.hashes.tolist())}
+    for i, t in rows:
+        log, a = 0.0, None
+        for w in words(t):
+            own = 1.0 if w in top else n[w] / (total[h[w] & 7] + 1)
+            e = model.emit[place[h[w]] if w in top else h[w] & 7] * own
+            a = (model.start if a is None else a @ model.move) * e
+            log += math.log(a.sum())
+            a = a / a.sum()
+        assert got[i].n_words == len(words(t)) and abs(got[i].log_likelihood - log) < 1e-4 and abs(got[i].score - log / len(words(t))) < 1e-6
+    assert got[61].score == got[62].score
+
+
+def test_word_counts_when_tasks_send_early(spark):
+    rows = [(i, prose(i, 200, 250)) for i in range(80)] + HARD
+    got = {r.h: r.n for r in word_counts(docs(spark, rows).repartition(2), most=50).collect()}
+    want = Counter(int(x) for _, t in rows if t for x in word_hashes([t])[0].view(np.int64))
+    assert got == dict(want)
+
+
+def test_training_takes_whole_texts(spark):
+    """Counts of long and short texts are those of one pass over all, without cuts."""
+    d = docs(spark, [(i, prose(i, (3, 700, 40)[i % 3], 60)) for i in range(30)])
+    vocab, counts = vocabulary(d, terms=30, shared=8)
+    rows = [np.frombuffer(r.symbols, np.uint16) for r in encoded(d, vocab).collect()]
+    fresh = HiddenMarkov.fresh(counts, 3, 0)
+    first, moves, emitted, log = fresh.counted(np.concatenate(rows).astype(np.int64), np.array([len(x) for x in rows]))
+    model, logs = train(encoded(d, vocab), counts, states=3, rounds=1)
+    assert abs(logs[0] - log) < 1e-6 * abs(log) and np.allclose(model.start, (first + 0.1) / (first + 0.1).sum(), atol=1e-4)
+    assert np.allclose(model.move, (moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True), atol=1e-4)
+
+
 def test_lm_hard_rows(spark):
     out = {(r.doc_id, r.n_words): r for r in lm_scores(odd(spark, HARD), terms=20, shared=8, rounds=1).collect()}
     assert out[(1, None)].log_likelihood is None

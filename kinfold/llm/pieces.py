@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -12,9 +12,10 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from kinfold.llm.common import pick, slices, lean
+from kinfold.llm.common import free_name, pick, slices, lean
 
 BAR = "▁"
+TAKEN = "\udfff"  # stands for a BAR of the text itself, so that it isn't taken for a space; no text has it
 END = -1
 INNER, START, OTHER = 0, 1, 2
 NEAR = 48
@@ -59,7 +60,7 @@ class Lattice:
         for i in plain:
             self.log[i] = -theta * np.log(i - first + 2.0)
         self.rare = -theta * np.log(n + 2.0)
-        self.text = [p.encode() for p in self.piece]
+        self.text = [p.replace(BAR, " ").encode() for p in self.piece]
         for b in range(256):
             self.text[self.byte[b]] = bytes([b])
         self.bytes = np.array([len(b) for b in self.text])
@@ -102,7 +103,7 @@ class Lattice:
         """The lattice of distinct units."""
         return self.built(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, units), np.int64, len(units)))
 
-    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, texts: list[str], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What `units` finds in all texts at once: all letters, where units begin, the unit's hash and
         the row it is in."""
         raw = [self.normalized(t).encode("utf-32-le", "surrogatepass") for t in texts]
@@ -118,7 +119,7 @@ class Lattice:
         size = np.diff(start, append=ends[-1] if len(n) else 0)
         two = np.ndarray((len(codes) - 1,), np.uint64, whole, strides=(4,))
         low = np.uint64(0xFFFFFFFF)
-        h = _mix(np.where(size > 1, two[start], two[start] & low) + GOLD)
+        h = _mix(np.where(size > 1, two[start], two[start] & low) + GOLD + np.uint64(salt))
         left, step = np.flatnonzero(size > 2), 2
         while len(left):
             x = two[start[left] + step]
@@ -222,7 +223,7 @@ class Lattice:
 
     def normalized(self, text: str) -> str:
         """What the model segments: a word start in front, and one for each space."""
-        return BAR + text.replace(" ", BAR) if text else ""
+        return BAR + text.replace(BAR, TAKEN).replace(" ", BAR) if text else ""
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """Piece ids, with characters that no piece has as their bytes."""
@@ -230,12 +231,13 @@ class Lattice:
             return ids.astype(np.int32)
         out: list[int] = []
         for i in ids.tolist():
-            out += [i] if i >= 0 else [self.byte[b] for b in chr(-i - 1).encode("utf-8", "surrogatepass")]
+            c = chr(-i - 1) if i < 0 else ""
+            out += [self.byte[b] for b in (BAR if c == TAKEN else c).encode("utf-8", "surrogatepass")] if c else [i]
         return np.array(out, np.int32)
 
     def exact(self, samples: list[np.ndarray], texts: list[str]) -> np.ndarray:
         """Whether each sample decodes to its text, by one comparison of all their bytes."""
-        want = [self.normalized(t).encode("utf-8", "surrogatepass") for t in texts]
+        want = [(" " + t if t else "").encode("utf-8", "surrogatepass") for t in texts]
         ids = np.concatenate(samples) if samples else np.empty(0, np.int32)
         n = self.bytes[ids]
         each = np.append(0, np.cumsum(n))
@@ -247,13 +249,13 @@ class Lattice:
         kind = np.int32 if each[-1] < 2**31 else np.int64
         at = np.arange(each[-1], dtype=kind) + np.repeat((self.first[ids] - each[:-1]).astype(kind), n)
         wrong = np.flatnonzero(self.spelling[at] != np.frombuffer(b"".join(want), np.uint8))
-        out = np.array([BAR not in t for t in texts], bool)
+        out = np.ones(len(texts), bool)
         out[np.unique(np.searchsorted(bounds, wrong, side="right") - 1)] = False
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation: the exact inverse of `spell` over `normalized`."""
-        return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass").replace(BAR, " ")[1:]
+        return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 class Edges(NamedTuple):
@@ -455,55 +457,84 @@ def seed_of(key: object) -> int:
     return xxhash.xxh3_64_intdigest(repr(key))
 
 
-def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id", k: int = 2, theta: float = 1.0, seed: int = 0) -> DataFrame:
-    """doc_id, `n_pieces` of the first sample, `exact` (each sample decodes to the text) and
-    `samples`: k distinct segmentations drawn without replacement, best first, each with its piece
-    ids as little-endian int32 bytes, log probability, perturbed key and inclusion score.
+def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id", k: int = 2, theta: float = 1.0, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to `keep`, `n_pieces` of the first sample, `exact` (each sample decodes to
+    the text) and `samples`: k distinct segmentations drawn without replacement, best first, each
+    with its piece ids as little-endian int32 bytes, log probability, perturbed key and inclusion
+    score. `decoded` turns them back to texts.
 
     The inclusion score is 1 - exp(-exp(log probability - kappa)), the chance to be among the k
     given the k+1st key kappa; 1 where the text has no more than k segmentations. Draws depend on
     doc_id, the text and `seed` alone, so reruns and repartitions give the same; repeated equal
     rows get equal samples. NULL text gives NULL columns; '' has no samples. Whole texts are
-    segmented, whatever their length. `model_path` must be readable where the tasks run.
+    segmented, whatever their length, and any text decodes to itself: a U+2581 in it is spelt in
+    bytes, so that it isn't taken for a space. Units are told apart by a hash; should two of a batch
+    share one, the texts that then don't decode are segmented again by another. doc_id may be NULL
+    and of any type; an empty table has no rows. A new column whose name a kept one has is numbered.
+    `model_path` must be readable where the tasks run.
     """
-    d = pick(docs, doc_id=doc_id, text=text)
-    kind = d.schema["doc_id"].dataType.simpleString()
+    d = pick(docs, doc_id=doc_id, text=text, **{f"__keep{n}": c for n, c in enumerate(keep)})
     sampled = pa.list_(pa.struct([("ids", pa.binary()), ("log_prob", pa.float64()), ("key", pa.float64()), ("inclusion", pa.float64())]))
+    extra = [f"__keep{n}" for n in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model_path, theta)
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for i, j in slices([len(t or "") for t in texts], 1_000_000):
-                yield part(lattice, b.column("doc_id").slice(i, j - i), keys[i:j], texts[i:j])
+                own = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *[own.column(c) for c in extra], *part(lattice, keys[i:j], texts[i:j])], names=["doc_id", *extra, "n_pieces", "exact", "samples"])
 
-    def part(lattice: Lattice, ids: pa.Array, keys: list, texts: list) -> pa.RecordBatch:
-        found = sample_texts(lattice, texts, [seed_of((seed, x, t)) for x, t in zip(keys, texts, strict=True)], k)
+    def part(lattice: Lattice, keys: list, texts: list) -> list[pa.Array]:
+        seeds = [seed_of((seed, x, t)) for x, t in zip(keys, texts, strict=True)]
+        found = sample_texts(lattice, texts, seeds, k)
         samples, exact, n = [], [], []
         drawn = [(lattice.spell(pieces), t) for t, got in zip(texts, found, strict=True) if t for pieces, _, _ in got[:-1]]
         checked = iter(zip([x for x, _ in drawn], lattice.exact([x for x, _ in drawn], [t for _, t in drawn]).tolist(), strict=True))
-        for t, got in zip(texts, found, strict=True):
+        for t, own, got in zip(texts, seeds, found, strict=True):
             if not t:
                 samples.append(None if t is None else [])
                 exact.append(None if t is None else True)
                 n.append(None if t is None else 0)
                 continue
-            kappa, one, ok = got[-1][2], [], True
-            for _, logp, key in got[:-1]:
-                spelt, same = next(checked)
-                ok = ok and same
-                one.append({"ids": spelt.tobytes(), "log_prob": logp, "key": key, "inclusion": 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(logp - kappa, 50.0))))})
-            samples.append(one)
-            exact.append(ok)
-            n.append(len(one[0]["ids"]) // 4)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(exact, pa.bool_()), pa.array(samples, sampled)], names=["doc_id", "n_pieces", "exact", "samples"])
+            spelt = [next(checked) for _ in got[:-1]]
+            if not all(same for _, same in spelt):
+                got = sample_texts(lattice, [t], [own], k, salt=1)[0]
+                spelt = [(x, lattice.decode(x) == t) for x in (lattice.spell(pieces) for pieces, _, _ in got[:-1])]
+            kappa = got[-1][2]
+            samples.append([{"ids": x.tobytes(), "log_prob": logp, "key": key, "inclusion": 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(logp - kappa, 50.0))))} for (x, _), (_, logp, key) in zip(spelt, got[:-1], strict=True)])
+            exact.append(all(same for _, same in spelt))
+            n.append(len(spelt[0][0]))
+        return [pa.array(n, pa.int64()), pa.array(exact, pa.bool_()), pa.array(samples, sampled)]
+
+    types = "".join(f"{c} {d.schema[c].dataType.simpleString()}, " for c in ["doc_id", *extra])
+    out = d.mapInArrow(lean(run), f"{types}n_pieces bigint, exact boolean, samples array<struct<ids: binary, log_prob: double, key: double, inclusion: double>>")
+    names = ["doc_id", *keep]
+    for new in ("n_pieces", "exact", "samples"):
+        names.append(free_name(names, new))
+    return out.toDF(*names)
+
+
+def decoded(segments: DataFrame, model_path: str, samples: str = "samples", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and the `texts` that a row's samples decode to, one for each: the inverse of `segment`.
+
+    One row for each row. NULL samples give NULL, an empty list (of the empty text) an empty list.
+    Any int32 ids of the model's pieces decode; bytes that make no character become U+FFFD.
+    """
+    d = pick(segments, doc_id=doc_id, samples=samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(model_path)
+        for b in batches:
+            cells = [None if x is None else [lattice.decode(np.frombuffer(y["ids"], np.int32)) for y in x] for x in b.column("samples").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cells, pa.list_(pa.string()))], names=["doc_id", "texts"])
 
-    return d.mapInArrow(lean(run), f"doc_id {kind}, n_pieces bigint, exact boolean, samples array<struct<ids: binary, log_prob: double, key: double, inclusion: double>>")
+    return d.mapInArrow(lean(run, 200), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, texts array<string>")
 
 
-def sample_texts(lattice: Lattice, texts: list[str | None], seeds: list[int], k: int) -> list[list[tuple[np.ndarray | None, float, float]]]:
+def sample_texts(lattice: Lattice, texts: list[str | None], seeds: list[int], k: int, salt: int = 0) -> list[list[tuple[np.ndarray | None, float, float]]]:
     """`Sampler.sample` over texts; their distinct units are built once for all."""
-    codes, start, hashes, row = lattice.cut([t or "" for t in texts])
+    codes, start, hashes, row = lattice.cut([t or "" for t in texts], salt)
     _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     size = np.diff(start, append=len(codes) - 2)[first]  # the letters end before their padding
     parts = []

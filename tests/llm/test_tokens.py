@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 
 from kinfold.llm import decontaminate as dec
 from kinfold.llm.common import words
-from kinfold.llm.pieces import Lattice, Sampler, sample_texts, seed_of, segment
+from kinfold.llm.pieces import Lattice, Sampler, decoded, sample_texts, seed_of, segment
 from kinfold.llm.token_counts import PrefixCounter, load, token_counts, tokens_at, truncated, unpack
 
 from .helpers import HARD, docs, odd, prose
@@ -140,6 +140,21 @@ def test_segment_hard_rows(spark):
     assert segment(docs(spark, []), MODEL).count() == 0
 
 
+def test_segments_decode_to_their_texts(spark):
+    rows = [*HARD, (20, "▁bar ▁▁ and  spaces "), (21, "▁"), (22, " "), (23, prose(3, 500))]
+    d = docs(spark, rows)
+    out = segment(d, MODEL, k=3, keep=["lang", "n_chars"])
+    assert out.columns == ["doc_id", "lang", "n_chars", "n_pieces", "exact", "samples"]
+    assert all(r.exact in (True, None) for r in out.collect())
+    want = Counter((i, None if t is None else t) for i, t in rows)
+    got = Counter()
+    for r, n in zip(decoded(out, MODEL).collect(), out.select("n_chars").collect(), strict=True):
+        assert r.texts is None or len(set(r.texts)) <= 1
+        got[r.doc_id, None if r.texts is None else r.texts[0] if r.texts else ""] += 1
+        assert r.texts is None or len(r.texts[0] if r.texts else "") == n.n_chars
+    assert got == want
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -295,3 +310,22 @@ def test_pipeline_stages(spark, tmp_path):
         step = f(spark, step, str(tmp_path))
         assert step.columns == ["doc_id", "text", "lang", "source", "n_chars"], k
     assert shared not in step.where(F.col("doc_id") == 3001).first().text
+
+
+def test_pipeline_hard_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties; then empty tables."""
+    import corpus_pipeline
+
+    labels, benchmark = "doc_id bigint, toxic int", "item_id bigint, text string"
+    docs(spark, HARD).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(4, 0), (None, 1), (9, None)], labels).write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x"), (2, "")], benchmark).write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_pieces", "exact", "samples"]
+    rows = out.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, i) for i in (1, 2, 3, 4, 6, 7, 8, 9)] + [(True, 0)]
+    assert all(r.exact or r.samples is None for r in rows)
+    docs(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/b/labels.parquet")
+    spark.createDataFrame([], benchmark).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

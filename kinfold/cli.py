@@ -1,10 +1,12 @@
-"""Command line: run, analyze, block, match, eval, edges, resolve, benchmark."""
+"""Command line: run, analyze, block, match, eval, edges, resolve, benchmark, benchmark-all, download."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import time
 from dataclasses import asdict, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 import pyspark.sql.functions as F
@@ -118,7 +120,31 @@ def benchmark(spark: SparkSession, args: argparse.Namespace) -> dict:
     return out
 
 
-COMMANDS = {"run": run, "analyze": analyze, "block": block, "match": match, "eval": evaluate, "edges": edges, "resolve": resolve_in_steps, "benchmark": benchmark}
+def benchmark_all(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Each registered data set that has a folder under the input; one that fails says why, and the others go on."""
+    base, out, results = args.input, args.output, {}
+    for name in sorted(benchmarks.REGISTRY):
+        if not Path(base, name).is_dir():
+            continue
+        args.name, args.input, args.output = name, f"{base}/{name}", out and f"{out}/{name}_results.json"
+        began = time.perf_counter()
+        try:
+            results[name] = benchmark(spark, args) | {"elapsed_seconds": time.perf_counter() - began}
+        except Exception as e:  # noqa: BLE001 - reported in the results
+            results[name] = {"dataset": name, "error": str(e)}
+    if out:
+        files.write_json(results, f"{out}/all_results.json")
+    for name, r in results.items():
+        print(f"{name:<16}" + (r["error"] if "error" in r else "".join(f"{k} {r[k]:.4f}  " for k in ("precision", "recall", "f1_score"))))
+    return results
+
+
+def download(spark: SparkSession, args: argparse.Namespace) -> dict:
+    data = benchmarks.read(spark, args.name, benchmarks.fetch(args.name, args.output, args.input))
+    return {"dataset": args.name, "left": data.left.count(), "right": data.right.count(), "pairs": data.truth.count()}
+
+
+COMMANDS = {"run": run, "analyze": analyze, "block": block, "match": match, "eval": evaluate, "edges": edges, "resolve": resolve_in_steps, "benchmark": benchmark, "benchmark-all": benchmark_all, "download": download}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -127,8 +153,8 @@ def parser() -> argparse.ArgumentParser:
     for name in COMMANDS:
         c = sub.add_parser(name)
         c.add_argument("--input", required=True)
-        c.add_argument("--output", required=name in ("run", "block", "match", "edges", "resolve"))
-        if name in ("run", "block", "resolve", "benchmark"):
+        c.add_argument("--output", required=name in ("run", "block", "match", "edges", "resolve", "download"))
+        if name in ("run", "block", "resolve", "benchmark", "benchmark-all"):
             c.add_argument("--config")
             c.add_argument("--iterations", type=int)
             c.add_argument("--method", choices=["semantic", "name"])
@@ -139,8 +165,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--entity-type")
         if name in ("run", "block", "resolve"):
             c.add_argument("--name")
-        if name == "benchmark":
+        if name in ("benchmark", "download"):
             c.add_argument("--name", required=True, choices=sorted(benchmarks.REGISTRY))
+        if name in ("benchmark", "benchmark-all"):
             c.add_argument("--cross-source-only", action="store_true")
         if name == "eval":
             c.add_argument("--truth")

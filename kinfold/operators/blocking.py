@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 import pyspark.sql.functions as F
 
 from kinfold.functions.text import name_keys
-from kinfold.functions.vectors import dot
+from kinfold.functions.vectors import dot, norm
+from kinfold.session import checkpointed
 
 
 def effective_target(target: int, iteration: int, floor: int = 10) -> int:
@@ -37,38 +38,54 @@ def name_blocks(df: DataFrame, name: str = "name", id_column: str = "er_id") ->
     return key_blocks(df, name_keys(F.col(name)), id_column)
 
 
-def assign_nearest(rows: DataFrame, centroids: DataFrame, id_column: str = "er_id", vector: str = "embedding") -> DataFrame:
-    """Each row's centroid of greatest inner product, lowest `centroid` among equals.
+def assign_nearest(rows: DataFrame, centroids: DataFrame, id_column: str = "er_id", vector: str = "embedding", most_mb: int = 64) -> DataFrame:
+    """Each row's centroid of greatest inner product, lowest `centroid` among equals; NULL for a NULL vector.
 
-    `centroids` (centroid, center) goes to every task: it is a model's parameters, of a size that
-    the caller chose. Each row is one task's work, without a shuffle.
+    `centroids` (centroid, center) goes to every task if its numbers take `most_mb` or less; each row
+    is then one task's work, without a shuffle. A larger set goes in parts of that size, one after
+    another, and rows keep their best so far in a checkpoint between them.
     """
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid", "center"))).alias("all"))
-    best = F.reduce(
-        F.transform("all", lambda c: F.struct(dot(F.col(vector), c["center"]).alias("s"), (-c["centroid"]).alias("k"))),
-        F.lit(None).cast("struct<s: double, k: bigint>"),
-        lambda a, x: F.when(a.isNull() | (x > a), x.cast("struct<s: double, k: bigint>")).otherwise(a),
-    )
-    return rows.crossJoin(F.broadcast(packed)).select(id_column, (-best["k"]).alias("centroid"))
-
-
-def vector_blocks(df: DataFrame, id_column: str = "er_id", vector: str = "embedding", target: int = 30, iteration: int = 1, seed: int = 42, train_rows: int = 1_000_000) -> DataFrame:
+    numbers = centroids.agg(F.coalesce(F.sum(F.size("center")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, int(-(-8 * numbers // (most_mb * 2**20))))
+    kind = "struct<s: double, k: bigint>"
+    found = rows.select(id_column, F.col(vector).alias("__v"), F.lit(None).cast(kind).alias("__best"))
+    for p in range(parts):
+        mine = centroids if parts == 1 else centroids.where(F.pmod(F.xxhash64("centroid"), F.lit(parts)) == p)
+        packed = mine.agg(F.array_sort(F.collect_list(F.struct("centroid", "center"))).alias("__all"))
+        best = F.reduce(
+            F.transform("__all", lambda c: F.struct(dot(F.col("__v"), c["center"]).alias("s"), (-c["centroid"]).alias("k"))),
+            F.col("__best"),
+            lambda a, x: F.when(x["s"].isNotNull() & (a.isNull() | (x > a)), x.cast(kind)).otherwise(a),
+        )
+        found = found.crossJoin(F.broadcast(packed)).select(id_column, "__v", best.alias("__best"))  # one row, of a checked size
+        if parts > 1:
+            found = checkpointed(found)
+    return found.select(id_column, (-F.col("__best.k")).alias("centroid"))
+
+
+def vector_blocks(df: DataFrame, id_column: str = "er_id", vector: str = "embedding", target: int = 30, iteration: int = 1, seed: int = 42, train_rows: int | None = None) -> DataFrame:
     """Blocks of about `target` rows by spherical k-means; a single one where there are no more rows.
 
-    There are min(rows / target, sqrt(rows)) centroids. They are fitted to at most about
-    `train_rows` rows, a sample by hash; all rows are assigned. NULL vectors block nothing.
+    There are min(rows / target, sqrt(rows)) centroids, fitted to all rows, or to about `train_rows`
+    of them by hash if that is given; all rows are assigned. Vectors without a direction (all zero)
+    are a block of their own. NULL vectors block nothing. Fewer than two centroids make one block.
     """
     rows = df.select(F.col(id_column).alias("er_id"), F.col(vector).alias("v")).where("v IS NOT NULL")
-    n, size = rows.count(), effective_target(target, iteration)
-    if n <= size:
+    flat = norm(F.col("v")) == 0
+    count = rows.agg(F.count_if(~flat).alias("n"), F.count(F.lit(1)).alias("every")).first()
+    n, size = count["n"], effective_target(target, iteration)
+    k = min(n // size, isqrt(n))
+    if count["every"] <= size:
         return with_size(rows.select("er_id", F.lit("block_0").alias("block_key")))
-    k = max(1, min(n // size, isqrt(n)))
-    vectors = rows.select("er_id", array_to_vector("v").alias("features"))
-    share = min(1.0, train_rows / n)
+    zero = rows.where(flat).select("er_id", F.lit("block_zero").alias("block_key"))
+    if k < 2:
+        return with_size(rows.where(~flat).select("er_id", F.lit("block_0").alias("block_key")).union(zero))
+    vectors = rows.where(~flat).select("er_id", array_to_vector("v").alias("features"))
+    share = min(1.0, train_rows / n) if train_rows else 1.0
     fit = vectors if share == 1.0 else vectors.where(F.pmod(F.xxhash64("er_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     model = KMeans(k=k, distanceMeasure="cosine", seed=seed, initSteps=2, maxIter=20).fit(fit)
     put = model.transform(vectors).select("er_id", F.concat(F.lit("block_"), F.col("prediction").cast("string")).alias("block_key"))
-    return with_size(put)
+    return with_size(put.union(zero))
 
 
 def salt(blocks: DataFrame, most: int, order: str = "er_id") -> DataFrame:

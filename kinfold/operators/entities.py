@@ -58,8 +58,9 @@ def present(c: str, kind: T.DataType) -> Column:
     return F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) if isinstance(kind, T.DoubleType | T.FloatType) else F.col(f"`{c}`")
 
 
-def to_entities(df: DataFrame, id_column: str, name: str | None = None, texts: Names = None, entity_type: str = "entity", prefix: str = "", right: bool = False) -> DataFrame:
-    """Envelope rows. The name falls back to `entity_<id>`, the description joins the text columns
+def to_entities(df: DataFrame, id_column: str, name: str | None = None, texts: Names = None, entity_type: str = "entity", prefix: str = "", right: bool = False, two: bool = False) -> DataFrame:
+    """Envelope rows. The name falls back to `entity_<id>`, or of `two` tables to the column `id` and
+    then to "unknown", where an empty name counts as none. The description joins the text columns
     that aren't NULL, attributes hold every value that is there, as strings, under `prefix`. With
     `right`, ids are moved out of the left table's way and kept under it."""
     name = name or name_column(df)
@@ -69,10 +70,12 @@ def to_entities(df: DataFrame, id_column: str, name: str | None = None, texts: N
     ident = F.col(f"`{id_column}`").cast("bigint") + (RIGHT_OFFSET if right else 0)
     pairs = [F.struct(F.lit(prefix + c).alias("k"), v.alias("v")) for c, v in value.items() if c != id_column]
     attributes = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull())) if pairs else F.lit(None)
+    fallback = F.coalesce(value.get("id", F.lit(None).cast("string")), F.lit("unknown")) if two else F.concat(F.lit("entity_"), ident.cast("string"))
+    shown = F.nullif(F.coalesce(value[name], fallback), F.lit("")) if two else value[name]
     rows = df.select(
         ident.alias("er_id"),
         F.sha2(F.concat_ws("|", F.lit(entity_type), ident.cast("string")), 256).substr(1, 32).alias("er_uuid"),
-        F.coalesce(value[name], F.concat(F.lit("entity_"), ident.cast("string"))).alias("name"),
+        F.coalesce(shown, F.lit("unknown") if two else fallback).alias("name"),
         F.concat_ws(" ", *[value[c] for c in texts]).alias("description"),
         F.lit(entity_type).alias("entity_type"),
         attributes.alias("attributes"),
@@ -82,7 +85,7 @@ def to_entities(df: DataFrame, id_column: str, name: str | None = None, texts: N
 
 def two_tables(left: DataFrame, right: DataFrame, id_column: str, **how: object) -> DataFrame:
     """Both tables as one set of entities, with left and right attributes told apart."""
-    return to_entities(left, id_column, prefix="l_", **how).unionByName(to_entities(right, id_column, prefix="r_", right=True, **how))
+    return to_entities(left, id_column, prefix="l_", two=True, **how).unionByName(to_entities(right, id_column, prefix="r_", right=True, two=True, **how))
 
 
 def embedding_text(fields: list[str] | None = None) -> Column:

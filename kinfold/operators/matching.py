@@ -30,35 +30,56 @@ class Matcher(Protocol):
     def __call__(self, rows: DataFrame, blocks: DataFrame, iteration: int) -> DataFrame: ...
 
 
+def word_overlap(a: Column, b: Column) -> Column:
+    """Shared words of all words of two normalised names."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """The greater of edit similarity and word overlap of two normalised names; 0 if one is empty."""
     longest = F.greatest(F.length(a), F.length(b))
     edit = F.coalesce(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longest), F.lit(0.0))
-    x, y = F.split(a, " "), F.split(b, " ")
-    words = F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
-    return F.when((a == "") | (b == ""), 0.0).otherwise(F.greatest(edit, words))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(F.greatest(edit, word_overlap(a, b)))
+
+
+def similarity_from(a: str, b: str, threshold: float) -> Column:
+    """`name_similarity` of two columns where it reaches the threshold, less or 0 elsewhere: names
+    whose lengths differ too much aren't compared, and the edit distance stops at its limit."""
+    x, y = F.col(a), F.col(b)
+    longest = F.greatest(F.length(x), F.length(y))
+    limit = f"cast(floor((1 - {threshold!r}) * greatest(length({a}), length({b})) + 1e-9) as int)"
+    steps = F.expr(f"levenshtein({a}, {b}, {limit})")
+    edit = F.when((F.abs(F.length(x) - F.length(y)) <= F.expr(limit)) & (steps >= 0), 1 - F.try_divide(steps.cast("double"), longest)).otherwise(0.0)
+    overlap = word_overlap(x, y)
+    return F.when((x == "") | (y == ""), 0.0).when(overlap >= 1, 1.0).otherwise(F.greatest(edit, overlap))
 
 
 class RuleMatcher:
-    """Pairs of one block whose names are alike by `name_similarity`. Deterministic, without Python.
+    """Rows of one block whose names are alike by `name_similarity`. Deterministic, without Python.
 
-    Text too long to be a name is cut at `most_chars` for the edit distance alone, whose cost is
-    quadratic; equal texts always match, by their whole length.
+    Rows of a block with equal names, in whichever of its salted runs, are linked to the first of
+    them: as many pairs as rows. Unequal names are compared once each within a run, and a pair
+    that passes links the first row of either name. So a hot name costs no more than its rows, and
+    no link between different names is lost. Whole names are compared, whatever their length;
+    empty ones match nothing.
     """
 
-    def __init__(self, threshold: float = 0.85, most_chars: int = 500):
-        self.threshold, self.most_chars = threshold, most_chars
+    def __init__(self, threshold: float = 0.85):
+        self.threshold = threshold
 
     def __call__(self, rows: DataFrame, blocks: DataFrame, iteration: int = 1) -> DataFrame:
-        keys = ["block_key", *[c for c in ("salt_id",) if c in blocks.columns]]
-        named = normalize_name(F.coalesce("name", F.lit("")))
-        held = rows.select("er_id", F.substring(named, 1, self.most_chars).alias("n"), F.xxhash64(named).alias("h")).join(blocks.select("er_id", *keys), "er_id")
-        a = held.select(*keys, *[F.col(c).alias(f"{c}_a") for c in ("er_id", "n", "h")])
-        b = held.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("er_id", "n", "h")])
-        same = (F.col("h_a") == F.col("h_b")) & (F.col("n_a") == F.col("n_b"))
-        score = F.when(same & (F.col("n_a") != ""), 1.0).otherwise(F.when((F.length("n_a") < self.most_chars) & (F.length("n_b") < self.most_chars), name_similarity(F.col("n_a"), F.col("n_b"))).otherwise(0.0))
-        pairs = a.join(b, keys).where("er_id_a < er_id_b").withColumn("confidence", score).where(F.col("confidence") >= self.threshold)
-        return pairs.groupBy(F.col("er_id_a").alias("entity_a_id"), F.col("er_id_b").alias("entity_b_id")).agg(F.max("confidence").alias("confidence")).select(
+        salted = [c for c in ("salt_id",) if c in blocks.columns]
+        named = rows.select("er_id", normalize_name(F.coalesce("name", F.lit(""))).alias("n")).where("n <> ''")
+        held = named.join(blocks.select("er_id", "block_key", *salted), "er_id").withColumn("h", F.xxhash64("n"))
+        first = held.groupBy("block_key", "h", "n").agg(F.min("er_id").alias("a"), F.count(F.lit(1)).alias("m"))
+        equal = held.join(first.where("m > 1").select("block_key", "h", F.col("n").alias("n_a"), "a"), ["block_key", "h"]).where("n = n_a AND er_id <> a").select("a", F.col("er_id").alias("b"), F.lit(1.0).alias("confidence"))
+        each = held.groupBy("block_key", *salted, "h", "n").agg(F.min("er_id").alias("er_id"))
+        a, b = (each.select("block_key", *salted, *[F.col(c).alias(f"{c}_{end}") for c in ("er_id", "h", "n")]) for end in ("a", "b"))
+        met = a.join(b, ["block_key", *salted]).where("h_a < h_b OR (h_a = h_b AND n_a < n_b)")
+        alike = met.withColumn("confidence", similarity_from("n_a", "n_b", self.threshold)).where(F.col("confidence") >= self.threshold)
+        pairs = equal.union(alike.select(F.least("er_id_a", "er_id_b"), F.greatest("er_id_a", "er_id_b"), "confidence"))
+        return pairs.groupBy(F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id")).agg(F.max("confidence").alias("confidence")).select(
             "entity_a_id", "entity_b_id", F.lit(True).alias("is_match"), "confidence", F.lit("names alike").alias("reasoning")
         )
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 import pyspark.sql.functions as F
 
 from kinfold.functions import text as T
 from kinfold.functions.fields import votes
-from kinfold.functions.vectors import dot
+from kinfold.functions.vectors import cosine, l2_normalize, norm
 from kinfold.operators import blocking, entities, graph, lineage, matching, merge, metrics, pairs, profiling, schema
-from kinfold.plans.config import ResolveConfig
+from kinfold.plans.config import ResolveConfig, Settings
 from kinfold.plans.resolve import resolve
+from kinfold.session import shared_folder
+from kinfold.sources import benchmarks, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,9 +189,13 @@ def blocking_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("avg_block_size", "reduction_ratio")})
 
 
-@query("candidate_pairs", "SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey")
+_SALTED = "SELECT p_partkey, p_name, floor((row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1) / 10) AS salt FROM part"
+
+
+@query("candidate_pairs", f"WITH s AS ({_SALTED}) SELECT x.p_partkey AS a, y.p_partkey AS b FROM s x JOIN s y ON x.p_name = y.p_name AND x.salt = y.salt AND x.p_partkey < y.p_partkey")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.candidate_pairs(_part_blocks(spark, sf_dir).drop("block_size"))
+    """Pairs within runs of ten rows, so they grow with the rows, not with a block's square."""
+    return pairs.candidate_pairs(blocking.salt(_part_blocks(spark, sf_dir), 10).drop("block_size"))
 
 
 @query("name_key_blocks", f"""
@@ -206,26 +213,40 @@ def _clusters(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 
 _PAIRS = "SELECT DISTINCT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON {0} AND x.p_partkey < y.p_partkey"
 _SAME = {"p": "x.p_name = y.p_name AND x.p_brand = y.p_brand", "t": "x.p_name = y.p_name AND x.p_brand = y.p_brand AND x.p_type = y.p_type"}
-_RATES = f"""
-    WITH p AS ({_PAIRS.format(_SAME["p"])}), t AS ({_PAIRS.format(_SAME["t"])}),
-         c AS (SELECT (SELECT count(*) FROM p JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM t) AS t)
+_FROM_COUNTS = """
     SELECT tp AS true_positives, p - tp AS false_positives, t - tp AS false_negatives, round(coalesce(tp / nullif(p, 0), 0), 6) AS "precision",
            round(coalesce(tp / nullif(t, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(p + t, 0), 0), 6) AS f1_score FROM c"""
+_RATES = f"""
+    WITH p AS ({_PAIRS.format(_SAME["p"])}), t AS ({_PAIRS.format(_SAME["t"])}),
+         c AS (SELECT (SELECT count(*) FROM p JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM t) AS t) {_FROM_COUNTS}"""
+_LINKED = "SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_returnflag IN ({0})"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1_score")})
 
 
-@query("cluster_pairs", _PAIRS.format(_SAME["p"]))
+def _linked(spark: SparkSession, sf_dir: str, *flags: str) -> DataFrame:
+    """Pairs of a part and a supplier that lines of these flags link; as many as lines at most."""
+    return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin(*flags)).select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b"))
+
+
+_ITEM = "l_orderkey * 10 + l_linenumber"
+
+
+@query("cluster_pairs", f"""
+    WITH i AS (SELECT l_orderkey AS c, {_ITEM} AS e FROM lineitem)
+    SELECT DISTINCT x.e AS a, y.e AS b FROM i x JOIN i y ON x.c = y.c AND x.e < y.e""")
 def cluster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.cluster_pairs(_clusters(spark, sf_dir, "p_name", "p_brand"))
+    """The pairs of each order's lines: clusters of a size that doesn't grow."""
+    return pairs.cluster_pairs(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.expr(_ITEM).alias("entity_id")))
 
 
-@query("pair_metrics", _RATES)
+@query("pair_metrics", f"""
+    WITH p AS ({_LINKED.format("'A', 'R'")}), t AS ({_LINKED.format("'R', 'N'")}),
+         c AS (SELECT (SELECT count(*) FROM p JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM t) AS t) {_FROM_COUNTS}""")
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, t = (pairs.cluster_pairs(_clusters(spark, sf_dir, *k)) for k in (("p_name", "p_brand"), ("p_name", "p_brand", "p_type")))
-    return _rounded(metrics.pair_metrics(p, t))
+    return _rounded(metrics.pair_metrics(_linked(spark, sf_dir, "A", "R"), _linked(spark, sf_dir, "R", "N")))
 
 
 @query("cluster_f1", _RATES)
@@ -234,12 +255,27 @@ def cluster_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("pair_completeness", f"""
-    WITH c AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey),
-         t AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_partkey < y.p_partkey)
+    WITH c AS ({_LINKED.format("'A', 'R'")}), t AS ({_LINKED.format("'R', 'N'")})
     SELECT round(coalesce((SELECT count(*) FROM c JOIN t USING (a, b)) / nullif((SELECT count(*) FROM t), 0), 0), 6) AS pair_completeness""")
 def pair_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = pairs.candidate_pairs(_part_blocks(spark, sf_dir).drop("block_size"))
-    return metrics.pair_completeness(candidates, pairs.cluster_pairs(_clusters(spark, sf_dir, "p_brand", "p_type"))).withColumn("pair_completeness", F.round("pair_completeness", 6))
+    found = metrics.pair_completeness(_linked(spark, sf_dir, "A", "R"), _linked(spark, sf_dir, "R", "N"))
+    return found.withColumn("pair_completeness", F.round("pair_completeness", 6))
+
+
+@query("predicted_pairs", """
+    WITH m AS (SELECT min(p_partkey) OVER (PARTITION BY p_name) AS a, p_partkey AS b FROM part),
+         d AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_returnflag = 'R' AND l_partkey <> l_suppkey)
+    SELECT a, b FROM m WHERE a < b UNION SELECT a, b FROM d""")
+def predicted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive decisions and the lineage of merged parts."""
+    decided = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_a_id"), F.col("l_suppkey").alias("entity_b_id"), (F.col("l_returnflag") == "R").alias("is_match"))
+    return pairs.predicted(decided, merge.merge_components(_part_entities(spark, sf_dir)))
+
+
+@query("match_decisions", "SELECT l_partkey AS entity_a_id, l_suppkey AS entity_b_id, l_returnflag = 'R' AS is_match, l_discount AS confidence, l_returnflag AS reasoning FROM lineitem")
+def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_a_id"), F.col("l_suppkey").alias("entity_b_id"), (F.col("l_returnflag") == "R").alias("is_match"), F.col("l_discount").alias("confidence"), F.col("l_returnflag").alias("reasoning"))
+    return schema.decisions(d)
 
 
 # --- sets ---
@@ -396,14 +432,29 @@ def centroid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cosine_in_block", """
-    SELECT x.vec_id, arg_max(y.vec_id, ROW(round(list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9), -y.vec_id)) AS nearest
-    FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id GROUP BY x.vec_id""")
+    WITH s AS (SELECT *, floor((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 100) AS salt FROM embeddings)
+    SELECT x.vec_id, arg_max(y.vec_id, ROW(round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6), -y.vec_id)) AS nearest
+    FROM s x JOIN s y ON x.label = y.label AND x.salt = y.salt AND x.vec_id <> y.vec_id GROUP BY x.vec_id""")
 def cosine_in_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other vector of the same block."""
+    """The nearest other vector of the same run of a hundred of a block, so work grows with the rows."""
     e = table(spark, sf_dir, "embeddings")
-    x, y = (e.select("label", F.col("vec_id").alias(f"{n}_id"), F.col("embedding").alias(f"{n}_v")) for n in ("x", "y"))
-    met = x.join(y, "label").where("x_id <> y_id")
-    return met.groupBy(F.col("x_id").alias("vec_id")).agg(F.max_by("y_id", F.struct(F.round(dot(F.col("x_v"), F.col("y_v")), 9), -F.col("y_id"))).alias("nearest"))
+    runs = blocking.salt(blocking.key_blocks(e, F.col("label").cast("string"), "vec_id"), 100)
+    held = e.join(runs, e["vec_id"] == runs["er_id"]).select("block_key", "salt_id", "vec_id", "embedding")
+    x, y = (held.select("block_key", "salt_id", F.col("vec_id").alias(f"{n}_id"), F.col("embedding").alias(f"{n}_v")) for n in ("x", "y"))
+    met = x.join(y, ["block_key", "salt_id"]).where("x_id <> y_id")
+    return met.groupBy(F.col("x_id").alias("vec_id")).agg(F.max_by("y_id", F.struct(F.round(cosine(F.col("x_v"), F.col("y_v")), 6), -F.col("y_id"))).alias("nearest"))
+
+
+@query("vector_cosine", f"""
+    WITH {_CENTROID_SQL}
+    SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), center), 6) AS cosine, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
+           round(CAST(embedding[1] AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first_unit
+    FROM embeddings JOIN c ON label = centroid""")
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against its label's centroid."""
+    e = table(spark, sf_dir, "embeddings").withColumn("centroid", F.col("label").cast("bigint")).join(_centroids(spark, sf_dir), "centroid")
+    v = F.col("embedding")
+    return e.select("vec_id", F.round(cosine(v, F.col("center")), 6).alias("cosine"), F.round(norm(v), 6).alias("norm"), F.round(l2_normalize(v)[0], 6).alias("first_unit"))
 
 
 @query("vector_blocks")
@@ -474,30 +525,68 @@ def er_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the loop ---
 
 
-@query("rule_match", "SELECT x.p_partkey AS entity_a_id, y.p_partkey AS entity_b_id, true AS is_match FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey")
+@query("rule_match", """
+    SELECT min(p_partkey) OVER (PARTITION BY p_name) AS entity_a_id, p_partkey AS entity_b_id, true AS is_match FROM part
+    QUALIFY entity_a_id < entity_b_id""")
 def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal names are linked to the first row that has them."""
     rows = entities.to_entities(table(spark, sf_dir, "part"), "p_partkey", "p_name", [])
-    blocks = blocking.key_blocks(rows, T.normalize_name(F.col("name")))
+    blocks = blocking.salt(blocking.key_blocks(rows, T.normalize_name(F.col("name"))), 100)
     return matching.RuleMatcher()(rows, blocks).select("entity_a_id", "entity_b_id", "is_match")
 
 
+_WORDS = "list_distinct(string_split({0}, ' '))"
+
+
+@query("rule_match_similar", f"""
+    WITH r AS (SELECT p_brand, p_name AS n, min(p_partkey) AS id FROM part GROUP BY ALL),
+         s AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b,
+                      greatest(1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n)), len(list_intersect({_WORDS.format("x.n")}, {_WORDS.format("y.n")})) / len(list_distinct(list_concat({_WORDS.format("x.n")}, {_WORDS.format("y.n")})))) AS c
+               FROM r x JOIN r y ON x.p_brand = y.p_brand AND x.n < y.n),
+         e AS (SELECT min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS a, p_partkey AS b, 1.0 AS c FROM part)
+    SELECT a AS entity_a_id, b AS entity_b_id, round(c, 6) AS confidence FROM s WHERE c >= 0.85 UNION ALL SELECT a, b, c FROM e WHERE a < b""")
+def rule_match_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one brand with names that are alike at the production threshold: each two different
+    names of a brand are compared, equal ones linked to their first row."""
+    rows = entities.to_entities(table(spark, sf_dir, "part"), "p_partkey", "p_name", [])
+    blocks = blocking.key_blocks(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey")
+    return matching.RuleMatcher(0.85)(rows, blocks).select("entity_a_id", "entity_b_id", F.round("confidence", 6).alias("confidence"))
+
+
+def _resolved_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_name(F.col("text"))).alias("name"))
+    return resolve(docs, ResolveConfig(id_field="doc_id", name_field="name", text_fields=[], match_threshold=1.0))
+
+
 @query("resolve_documents", f"WITH {_LINKS} SELECT root AS er_id, count(*) - 1 AS n_sources FROM n JOIN g USING (nm) GROUP BY root")
 def resolve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole loop: documents of equal normalised text become one entity with its lineage."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_name(F.col("text"))).alias("name"))
-    rows, _ = resolve(docs, ResolveConfig(id_field="doc_id", name_field="name", text_fields=[], max_block_size=10**9, match_threshold=1.0))
+    rows, _ = _resolved_documents(spark, sf_dir)
     return rows.select("er_id", F.size(F.coalesce("source_ids", F.array().cast("array<bigint>"))).cast("bigint").alias("n_sources"))
 
 
-@query("resolve_semantic")
+@query("resolve_rounds", f"""
+    WITH {_LINKS}, t AS (SELECT (SELECT count(*) FROM n) AS a, (SELECT count(*) FROM g) AS b), k AS (SELECT unnest([1, 2]) AS iteration, a, b FROM t)
+    SELECT iteration, CASE iteration WHEN 1 THEN a ELSE b END AS input_count, b AS output_count, round(CASE iteration WHEN 1 THEN 100.0 * (a - b) / a ELSE 0 END, 6) AS reduction_pct,
+           round(100.0 * (a - b) / a, 6) AS overall_reduction_pct FROM k WHERE iteration = 1 OR 100.0 * (a - b) / a >= 1""")
+def resolve_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each round did, until one shrinks the data by less than 1 %."""
+    _, done = _resolved_documents(spark, sf_dir)
+    found = [(r.iteration, r.input_count, r.output_count, round(r.reduction_pct, 6), round(r.overall_reduction_pct, 6)) for r in done]
+    return spark.createDataFrame(found, "iteration int, input_count bigint, output_count bigint, reduction_pct double, overall_reduction_pct double")
+
+
+@query("resolve_semantic", "SELECT min(c_custkey) AS er_id, c_mktsegment AS name, CAST(count(*) - 1 AS INTEGER) AS n_sources FROM customer GROUP BY c_mktsegment")
 def resolve_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loop with vector blocks, over customers; not expressible in SQL."""
+    """The loop with vector blocks: equal segments have equal vectors, so each becomes one entity."""
     c = table(spark, sf_dir, "customer")
     rows, _ = resolve(c, ResolveConfig(id_field="c_custkey", name_field="c_mktsegment", text_fields=[], blocking_method="semantic", max_iterations=2))
     return rows.select("er_id", "name", F.size(F.coalesce("source_ids", F.array().cast("array<bigint>"))).alias("n_sources"))
 
 
-@query("grouped_match")
+@query("grouped_match", """
+    WITH b AS (SELECT p_name, min(p_partkey) AS er_id, count(*) AS n FROM part GROUP BY p_name)
+    SELECT b.er_id, p_brand || ' ' || p_type AS name, CASE WHEN n = 1 THEN 'singleton_block' END AS match_skip_reason, n - 1 AS n_sources FROM b JOIN part ON p_partkey = er_id""")
 def grouped_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grouped function as the matcher: merges each block to its first row."""
 
@@ -505,7 +594,267 @@ def grouped_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [{"local_id": 0, "name": pdf["name"].iloc[0], "description": None, "source_local": list(range(1, len(pdf)))}]
 
     rows = _part_entities(spark, sf_dir).drop("component")
-    return matching.GroupedMatcher(first).resolve(rows, _part_blocks(spark, sf_dir)).select("er_id", "name", "match_skip_reason")
+    out = matching.GroupedMatcher(first).resolve(rows, _part_blocks(spark, sf_dir))
+    return out.select("er_id", "name", "match_skip_reason", F.size(F.coalesce("source_ids", F.array().cast("array<bigint>"))).cast("bigint").alias("n_sources"))
+
+
+# --- files ---
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a query's files, where all executors can read them."""
+    return f"{shared_folder(spark)}/query-{uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT s_suppkey, s_name || ', \"x\"' AS s_name, s_nationkey FROM supplier")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV with quotes, read with types found out."""
+    path = f"{_folder(spark)}/suppliers.csv"
+    table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "x"')).alias("s_name"), "s_nationkey").write.option("header", True).option("escape", '"').csv(path)
+    return files.load(spark, path).select(F.col("s_suppkey").cast("bigint"), "s_name", "s_nationkey")
+
+
+@query("tsv_round_trip", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/parts.tsv"
+    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").write.option("header", True).option("sep", "\t").csv(path)
+    return files.load(spark, path, schema="p_partkey bigint, p_name string, p_retailprice double")
+
+
+@query("blocks_round_trip", """
+    SELECT p_name AS block_key, 'name' AS block_key_type, count(*) AS block_size, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS ids FROM part GROUP BY p_name""")
+def blocks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their entities as JSON lines, read again by their schema and checked for their columns."""
+    path = f"{_folder(spark)}/blocks.jsonl"
+    files.write_lines(blocking.nested(_part_entities(spark, sf_dir).select("er_id", "name"), _part_blocks(spark, sf_dir)), path)
+    back = files.read_lines(spark, path, "block_key string, block_key_type string, entities array<struct<er_id: bigint, name: string>>, block_size bigint")
+    ids = F.array_join(F.transform("entities", lambda e: e["er_id"].cast("string")), ",")
+    return schema.require_columns(back).select("block_key", "block_key_type", "block_size", ids.alias("ids"))
+
+
+@query("decisions_round_trip", "SELECT l_partkey AS entity_a_id, l_suppkey AS entity_b_id FROM lineitem WHERE l_returnflag = 'R'")
+def decisions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/matches.jsonl"
+    files.write_lines(match_decisions(spark, sf_dir), path)
+    return files.read_decisions(spark, path).where("is_match").select("entity_a_id", "entity_b_id")
+
+
+@query("truth_file", "SELECT DISTINCT l_partkey AS a, l_suppkey + 100000 AS b FROM lineitem WHERE l_linenumber = 1")
+def truth_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs of a CSV file, those with label 1."""
+    path = f"{_folder(spark)}/test.csv"
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ltable_id"), F.col("l_suppkey").alias("rtable_id"), (F.col("l_linenumber") == 1).cast("int").alias("label"))
+    lines.write.option("header", True).csv(path)
+    return files.read_truth(spark, path, offset=100_000)
+
+
+@query("resolved_output", """
+    SELECT p_name AS component, min(p_partkey) AS er_id, CASE WHEN count(*) > 1 THEN '[' || array_to_string(list(p_partkey ORDER BY p_partkey)[2:], ',') || ']' END AS source_ids, max(p_name) AS p_name FROM part GROUP BY p_name""")
+def resolved_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities as they are delivered: attributes as columns, lists as JSON, a summary beside them."""
+    folder = _folder(spark)
+    files.write_output(merge.merge_components(_part_entities(spark, sf_dir)), folder)
+    return spark.read.parquet(f"{folder}/resolved.parquet").select("component", F.col("er_id").cast("bigint"), "source_ids", "p_name")
+
+
+@query("snapshots", "SELECT n_nationkey, n_name, 2 AS read_as FROM nation UNION ALL SELECT n_nationkey, n_name, 1 FROM nation WHERE n_regionkey = 1")
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds' tables: the latest, and the first by its number."""
+    folder, n = _folder(spark), table(spark, sf_dir, "nation")
+    files.write_snapshot(n.where("n_regionkey = 1"), folder, 1)
+    files.write_snapshot(n, folder, 2)
+    latest, first = files.read_snapshot(spark, folder), files.read_snapshot(spark, folder, 1)
+    return latest.select("n_nationkey", "n_name", F.lit(2).alias("read_as")).union(first.select("n_nationkey", "n_name", F.lit(1)))
+
+
+_TWO = """
+    l AS (SELECT CAST(c_custkey + 7 AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS pos FROM customer),
+    r AS (SELECT CAST(s_suppkey + 3 AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) + 100000 AS pos FROM supplier),
+    m AS (SELECT CAST(o_custkey + 7 AS VARCHAR) AS a, CAST(l_suppkey + CASE l_linenumber WHEN 1 THEN 1000000 ELSE 3 END AS VARCHAR) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    t AS (SELECT DISTINCT l.pos AS a, r.pos AS b FROM m JOIN l ON m.a = l.id JOIN r ON m.b = r.id)"""
+
+
+def _two(spark: SparkSession, sf_dir: str) -> benchmarks.TwoTables:
+    """Customers and suppliers as two tables, with the mapping that orders make; some ids are unknown."""
+    left = entities.dense_id(table(spark, sf_dir, "customer").select((F.col("c_custkey") + 7).alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment")), "pos", "id")
+    right = entities.dense_id(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 3).alias("id"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_name")).alias("title")), "pos", "id")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + F.when(F.col("l_linenumber") == 1, 1_000_000).otherwise(3)).alias("b"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 7).alias("a"))
+    mapping = orders.join(lines, "l_orderkey").select("a", "b")
+    return benchmarks.TwoTables("own", left, right, benchmarks.positions(mapping, left, right, "a", "b"))
+
+
+@query("benchmark_truth", f"WITH {_TWO} SELECT a, b FROM t")
+def benchmark_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of string ids as pairs of positions; ids that a table lacks go."""
+    return _two(spark, sf_dir).truth
+
+
+@query("benchmark_entities", f"""
+    WITH {_TWO}
+    SELECT l.pos AS er_id, c_name AS name, c_mktsegment AS description FROM l JOIN customer ON CAST(c_custkey + 7 AS VARCHAR) = l.id
+    UNION ALL SELECT r.pos, CASE WHEN s_suppkey % 5 > 0 THEN s_name ELSE r.id END, '' FROM r JOIN supplier ON CAST(s_suppkey + 3 AS VARCHAR) = r.id""")
+def benchmark_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables as entities; a row without a name takes its id."""
+    return _two(spark, sf_dir).entities().select("er_id", "name", "description")
+
+
+@query("benchmark_rates", f"""
+    WITH {_TWO}, p AS (SELECT DISTINCT a, b FROM t WHERE a % 3 > 0 UNION SELECT DISTINCT pos, 100000 FROM l),
+         c AS (SELECT (SELECT count(*) FROM p JOIN t USING (a, b)) AS tp, (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM t) AS t) {_FROM_COUNTS}""")
+def benchmark_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _two(spark, sf_dir)
+    found = data.truth.where("a % 3 > 0").union(data.left.select("pos", F.lit(100_000)))
+    return _rounded(data.evaluate(found, cross_source_only=True))
+
+
+@query("matched_right_rows", f"WITH {_TWO} SELECT DISTINCT b - 100000 AS pos FROM t")
+def matched_right_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All right rows that have a match, whatever the sample's size."""
+    return _two(spark, sf_dir).sample_right(0).select("pos")
+
+
+# --- what else a run reports ---
+
+
+@query("most_common_back", """
+    WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL),
+         b AS (SELECT p_brand, p_type FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, length(p_type) DESC, p_type) = 1)
+    SELECT p_partkey, part.p_brand, b.p_type AS p_type_common FROM part LEFT JOIN b USING (p_brand)""")
+def most_common_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.most_common(table(spark, sf_dir, "part"), "p_brand", "p_type", back=True).select("p_partkey", "p_brand", "p_type_common")
+
+
+@query("entity_uuid", "SELECT p_partkey AS er_id, substr(sha256('part|' || CAST(p_partkey AS VARCHAR)), 1, 32) AS er_uuid FROM part")
+def entity_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_entities(spark, sf_dir).select("er_id", "er_uuid")
+
+
+@query("missing_uuids", """
+    WITH g AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS root FROM part),
+         u AS (SELECT DISTINCT substr(sha256('part|' || CAST(p_partkey AS VARCHAR)), 1, 32) AS uuid FROM g WHERE p_partkey <> root AND p_partkey % 5 = 0)
+    SELECT uuid FROM u ORDER BY uuid LIMIT 10""")
+def missing_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten uuids that the history lacks: a report's sample."""
+    rows = _part_entities(spark, sf_dir)
+    c = metrics.uuid_coverage(merge.merge_components(rows), rows.where("er_id % 5 <> 0").select(F.col("er_uuid").alias("uuid")))
+    return c.select(F.explode("missing").alias("uuid"))
+
+
+@query("er_report_history", """
+    WITH g AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS root FROM part), m AS (SELECT DISTINCT root AS id FROM g),
+         s AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 5 = 0) AS bad FROM g WHERE p_partkey <> root), d AS (SELECT count(*) AS n FROM m WHERE id % 2 = 0), t AS (SELECT count(*) AS n FROM m)
+    SELECT t.n + d.n AS raw_count, t.n AS unique_count, d.n AS duplicates, round(100.0 * d.n / (t.n + d.n), 6) AS duplicate_rate_pct, s.bad AS invalid_uuids,
+           round(100.0 * (s.n - s.bad) / s.n, 6) AS coverage_pct, 'FAIL' AS status FROM s, d, t""")
+def er_report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With rows of even ids twice and a history that lacks every fifth id."""
+    rows = _part_entities(spark, sf_dir)
+    m = merge.merge_components(rows)
+    out = metrics.er_report(m.unionByName(m.where("er_id % 2 = 0")), rows.count(), None, rows.where("er_id % 5 <> 0").select(F.col("er_uuid").alias("uuid")))
+    return out.select("raw_count", "unique_count", "duplicates", F.round("duplicate_rate_pct", 6).alias("duplicate_rate_pct"), "invalid_uuids", F.round("coverage_pct", 6).alias("coverage_pct"), "status")
+
+
+@query("match_totals", """
+    WITH b AS (SELECT count(*) AS n FROM part GROUP BY p_name)
+    SELECT CAST(sum(n) AS BIGINT) AS original_count, count(*) AS resolved_count, round(100.0 * (sum(n) - count(*)) / sum(n), 6) AS reduction_pct FROM b""")
+def match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("original_count"), F.lit(1).cast("bigint").alias("resolved_count"))
+    return files.match_totals(each).withColumn("reduction_pct", F.round("reduction_pct", 6))
+
+
+@query("profile_samples", " UNION ALL ".join(
+    f"SELECT '{c}' AS field, array_to_string((SELECT list(v ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM part ORDER BY v LIMIT 5)), ',') AS samples" for c in ("p_brand", "p_name", "p_partkey", "p_size", "p_type")))
+def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five values of each column."""
+    p = profiling.profile_columns(table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey", "p_size", "p_type"))
+    return p.select("field", F.array_join("sample_values", ",").alias("samples"))
+
+
+@query("parsed_edges", """
+    SELECT l_orderkey, count(*) AS n_edges, round(sum(CASE WHEN l_orderkey % 3 = 0 THEN l_quantity ELSE -1 END), 6) AS weight FROM lineitem GROUP BY l_orderkey""")
+def parsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resolver's JSON answers: lists for every third order, nothing usable for the others, whose
+    own edges stay."""
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("w"))).alias("new"))
+    own = F.transform("new", lambda x: F.struct(x["dst"].alias("dst"), F.lit(-1.0).alias("w")))
+    asked = e.select("l_orderkey", own.alias("own"), F.when(F.col("l_orderkey") % 3 == 0, F.to_json("new")).otherwise("sorry, no list").alias("answer"))
+    out = merge.parsed_edges(asked, "answer", "array<struct<dst: bigint, w: double>>", "own")
+    return out.select("l_orderkey", F.size("edges").cast("bigint").alias("n_edges"), F.round(F.aggregate("edges", F.lit(0.0), lambda s, x: s + x["w"]), 6).alias("weight"))
+
+
+@query("edge_resolve", """
+    SELECT l_orderkey AS src, l_suppkey % 10 AS dst, CASE WHEN count(*) > 1 THEN 'merged' ELSE min(l_returnflag) END AS type, count(*) AS n
+    FROM lineitem GROUP BY l_orderkey, l_suppkey % 10""")
+def edge_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of several edges go to a resolver's function, which merges each to one; others don't."""
+
+    def one(pdf):  # noqa: ANN001, ANN202
+        out = pdf.iloc[:1].copy()
+        out["kind"], out["n"] = "merged", len(pdf)
+        return out
+
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") % 10).alias("dst"), F.col("l_returnflag").alias("kind"), F.lit(1).cast("bigint").alias("n"))
+    return merge.resolve_edges(e, one, "src bigint, dst bigint, kind string, n bigint").select("src", "dst", F.col("kind").alias("type"), "n")
+
+
+@query("skip_split", """
+    WITH m AS (SELECT min(p_partkey) AS id FROM part GROUP BY p_name) SELECT id AS er_id, id % 11 = 0 AS skipped FROM m""")
+def skip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).select("er_id", F.coalesce("match_skip", F.lit(False)).alias("skipped"))
+
+
+_DESCRIBED = [("er_id", "bigint", False), ("price", "double", True), ("tags", "array<string>", True), ("weights", "map<string,double>", True)]
+
+
+@query("schema_builder", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', {str(o).lower()})" for n, t, o in _DESCRIBED) + ") t(field, spark_type, optional)")
+def schema_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark schema of an annotated class."""
+
+    class Product:
+        er_id: int
+        price: float | None
+        tags: list[str] | None
+        weights: dict[str, float] | None
+
+    Product.__annotations__ = {"er_id": int, "price": float | None, "tags": list[str] | None, "weights": dict[str, float] | None}
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in schema.schema_of(Product).fields], "field string, spark_type string, optional boolean")
+
+
+@query("schema_widened", "SELECT * FROM (VALUES ('n_nationkey', 'bigint', 'int'), ('n_name', 'string', 'str'), ('n_regionkey', 'bigint', 'int')) t(field, spark_type, python_type)")
+def schema_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's schema with wide numbers, and how a matcher is told of it."""
+    wide = schema.widen_ints(table(spark, sf_dir, "nation")).schema
+    told = {d["field"]: d["type"].removesuffix(" | None") for d in schema.described(wide)}
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), told[f.name]) for f in wide.fields], "field string, spark_type string, python_type string")
+
+
+@query("config_bounds", "SELECT * FROM (VALUES (1, 5, 30, 100, 0.01), (2, 10, 200, 500, 0.01), (3, 3, 15, 50, 0.05)) t(n, max_iterations, target_block_size, max_block_size, convergence_threshold)")
+def config_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as given, beyond all bounds, and from nested YAML."""
+    raw = [{"max_block_size": 100}, {"max_iterations": 99, "convergence_threshold": 0.9, "blocking": {"target_block_size": 999, "max_block_size": 9999}}, Settings({"a": {"n": 15}, "er": {"max_iterations": 3, "convergence_threshold": 0.05, "blocking": {"target_block_size": "${a.n}", "max_block_size": 50}}}).get("er")]
+    made = [ResolveConfig.of(r) for r in raw]
+    return spark.createDataFrame([(k + 1, c.max_iterations, c.target_block_size, c.max_block_size, float(c.convergence_threshold)) for k, c in enumerate(made)], "n int, max_iterations int, target_block_size int, max_block_size int, convergence_threshold double")
+
+
+@query("suggested_config", "SELECT 'p_name' AS name_field, 'entity' AS entity_type, 5 AS max_iterations, CASE WHEN count(*) > 30 THEN 'semantic' ELSE 'name' END AS method, 30 AS target_block_size FROM part")
+def suggested_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    c = profiling.suggested_config(profiling.profile_columns(p), p.count())
+    return spark.createDataFrame([(c["name_field"], c["entity_type"], c["max_iterations"], c["blocking"]["method"], c["blocking"]["target_block_size"])], "name_field string, entity_type string, max_iterations int, method string, target_block_size int")
+
+
+@query("block_targets", "SELECT i AS iteration, greatest(10, 30 // i) AS target FROM (SELECT unnest([1, 2, 3, 4]) AS i)")
+def block_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, blocking.effective_target(30, i)) for i in (1, 2, 3, 4)], "iteration int, target int")
+
+
+@query("summary_file", "SELECT count(*) AS original_count, count(DISTINCT p_name) AS final_count FROM part")
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's summary, written as JSON and read again."""
+    path = f"{_folder(spark)}/summary.json"
+    p = table(spark, sf_dir, "part")
+    files.write_json(p.agg(F.count(F.lit(1)).alias("original_count"), F.countDistinct("p_name").alias("final_count")).first().asDict(), path, spark)
+    return spark.read.option("multiLine", True).json(path).select("original_count", "final_count")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

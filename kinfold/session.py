@@ -20,13 +20,25 @@ def session(app: str = "kinfold", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Only a local session may
+    lack the setting; it then gets one temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    global _OWN
+    _OWN = _OWN or tempfile.mkdtemp(prefix="kinfold-")
+    return _OWN
+
+
+_OWN = ""
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the plan with a checkpoint in the folder that spark.checkpoint.dir names, which all
-    executors share, so a lost executor costs nothing. Only a local session may lack the setting."""
+    """Cuts the plan with a checkpoint in the shared folder, so a lost executor costs nothing."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinfold-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+import urllib.request
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
@@ -33,7 +35,7 @@ class TwoTables:
 
     def entities(self) -> DataFrame:
         def side(df: DataFrame, right: bool) -> DataFrame:
-            return to_entities(df, "pos", name_column(df.drop("pos"), TWO_TABLE_NAMES), prefix="r_" if right else "l_", right=right)
+            return to_entities(df, "pos", name_column(df.drop("pos"), TWO_TABLE_NAMES), prefix="r_" if right else "l_", right=right, two=True)
 
         return side(self.left, False).unionByName(side(self.right, True))
 
@@ -57,6 +59,21 @@ def positions(mapping: DataFrame, left: DataFrame, right: DataFrame, a: str, b:
     return m.join(x, "__a").join(y, "__b").select("a", "b").distinct()
 
 
+def fetch(name: str, folder: str, url: str) -> str:
+    """The archive of a registered data set as `folder`/data.zip, from any address that the standard
+    library opens; one that is there already is kept. Gives the folder, for `read`."""
+    if name not in REGISTRY:
+        raise ValueError(f"unknown data set {name!r}; there are {', '.join(sorted(REGISTRY))}")
+    out = Path(folder) / "data.zip"
+    if not out.exists():
+        out.parent.mkdir(parents=True, exist_ok=True)
+        part = out.with_suffix(".part")
+        with urllib.request.urlopen(url) as source, part.open("wb") as sink:  # noqa: S310 - the caller's address
+            shutil.copyfileobj(source, sink)
+        part.rename(out)
+    return str(out.parent)
+
+
 def read(spark: SparkSession, name: str, folder: str) -> TwoTables:
     """From a folder with data.zip (a registered archive) or tableA.csv, tableB.csv and labelled splits."""
     root = Path(folder)

@@ -124,10 +124,20 @@ def write_output(entities: DataFrame, folder: str, summary: dict[str, Any] | Non
         write_json(summary, f"{folder}/summary.json")
 
 
-def write_json(value: dict[str, Any], path: str) -> None:
-    """A small result, such as one row of metrics, as a JSON file."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, default=str))
+def write_json(value: dict[str, Any], path: str, spark: SparkSession | None = None) -> None:
+    """A small result, such as one row of metrics, as a JSON file: on the driver's disk, or with a
+    session on whatever file system the path names."""
+    text = json.dumps(value, indent=2, default=str)
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def match_totals(resolutions: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Blocks, pairs, metrics, graph, merge, lineage, matching."""
 
+import json
 import random
 
 import pytest
 import pyspark.sql.functions as F
+import pyspark.sql.types as T
 
-from kinfold.operators import blocking, entities, graph, lineage, matching, merge, metrics, pairs
+from kinfold.operators import blocking, entities, graph, lineage, matching, merge, metrics, pairs, prompts
 from kinfold.operators.schema import ENVELOPE, conform
 
 
@@ -277,3 +279,78 @@ def test_dense_ids(spark):
     assert sorted(r.er_id for r in got) == list(range(1000)) and all(r.er_id == r.k for r in got)
     assert sorted(r.er_id for r in entities.dense_id(df, start=5).collect()) == list(range(5, 1005))
     assert entities.dense_id(df.limit(0)).count() == 0
+
+
+def test_equal_names_cost_as_many_pairs_as_rows(spark):
+    rows = entities.to_entities(spark.createDataFrame([(i, "Same Name" if i % 3 else f"other {i}") for i in range(300)], "id long, name string"), "id", "name", [])
+    blocks = blocking.salt(blocking.with_size(rows.select("er_id", F.lit("one").alias("block_key"))), 50)
+    got = matching.RuleMatcher(0.99)(rows, blocks).collect()
+    assert sorted((r.entity_a_id, r.entity_b_id) for r in got) == [(1, i) for i in range(2, 300) if i % 3]
+
+
+def test_long_names_are_compared_whole(spark):
+    base = "word " * 200
+    data = [(1, base + "a"), (2, base + "b"), (3, "x" * 651 + "a"), (4, "x" * 651 + "b"), (5, "y" * 651), (6, ""), (7, None)]
+    rows = entities.to_entities(spark.createDataFrame(data, "id long, name string"), "id", "name", []).withColumn("name", F.coalesce("name", F.lit("")))
+    blocks = blocking.with_size(rows.select("er_id", F.lit("one").alias("block_key")))
+    assert sorted((r.entity_a_id, r.entity_b_id) for r in matching.RuleMatcher()(rows, blocks).collect()) == [(1, 2), (3, 4)]
+
+
+def test_bounded_similarity_like_the_plain_one(spark):
+    r = random.Random(3)
+    data = [("".join(r.choice("ab c") for _ in range(r.randint(0, 12))).strip(), "".join(r.choice("ab c") for _ in range(r.randint(0, 12))).strip()) for _ in range(400)]
+    df = spark.createDataFrame(data, "a string, b string")
+    for least in (0.5, 0.85, 1.0):
+        rows = df.select(matching.name_similarity(F.col("a"), F.col("b")).alias("x"), matching.similarity_from("a", "b", least).alias("y")).collect()
+        assert all((q.x >= least) == (q.y >= least) and (q.x < least or abs(q.x - q.y) < 1e-12) for q in rows)
+
+
+def test_vector_blocks_at_the_edges(spark):
+    r = random.Random(1)
+    for n in (1, 10, 11, 19, 20):
+        data = [(i, [r.random() for _ in range(4)]) for i in range(n)] + [(100, [0.0] * 4), (101, [0.0] * 4), (102, None)]
+        got = {x.er_id: x.block_key for x in blocking.vector_blocks(spark.createDataFrame(data, "er_id long, embedding array<double>"), target=10).collect()}
+        assert sorted(got) == [*range(n), 100, 101] and got[100] == got[101]
+        assert n < 10 or (got[100] == "block_zero" and "block_zero" not in {got[i] for i in range(n)})
+
+
+def test_centroids_in_parts(spark):
+    r = random.Random(2)
+    rows = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(50)] + [(99, None)], "er_id long, embedding array<double>")
+    centroids = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(9)] + [(20, [0.5] * 4), (21, [0.5] * 4)], "centroid long, center array<double>")
+    one, many = (sorted(map(tuple, blocking.assign_nearest(rows, centroids, most_mb=mb).collect()), key=str) for mb in (64, 2e-4))
+    assert one == many and (99, None) in one
+
+
+def test_prompts(spark):
+    kind = T.StructType.fromDDL("id bigint, tags array<string>, at struct<x: double, ok: boolean>, more map<string,int>")
+    assert prompts.shape(kind, {"id": "the row's number"}) == "{\n  # the row's number\n  id: int or null\n  tags: list of string or null\n  at: {\n    x: float or null\n    ok: boolean or null\n  } or null\n  more: map of string to int or null\n}"
+    text = prompts.prompt("match", {"records": [{"local_id": 0}], "fields": "name", "examples": prompts.examples()})
+    assert "== records ==" in text and "source_local: list of int" in text and "Nordwind" in text
+    assert prompts.examples([{"own": 1}]) == json.dumps([{"own": 1}], indent=1)
+    with pytest.raises(ValueError, match="examples"):
+        prompts.prompt("match", {"records": [], "fields": ""})
+    assert prompts.answer('Sure:\n```json\n[{"a": 1}]\n```') == [{"a": 1}]
+    with pytest.raises(ValueError, match="JSON"):
+        prompts.answer("no")
+    for request in prompts.REQUESTS:
+        assert prompts.prompt(request, dict.fromkeys(prompts.REQUESTS[request][1], "x"), many=False)
+
+
+def test_blocks_through_a_client(spark):
+    def ask(text):
+        records = json.loads(text.split("== records ==\n")[1].split("\n\n== fields")[0])
+        if any(r["name"] == "bad" for r in records):
+            return "I can't"
+        return "Here: " + json.dumps([{"local_id": 0, "name": records[0]["name"], "description": None, "source_local": [r["local_id"] for r in records[1:]]}])
+
+    rows = entities.to_entities(spark.createDataFrame([(1, "a"), (2, "a2"), (3, "bad"), (4, "bad"), (5, "alone")], "id long, name string"), "id", "name", [])
+    blocks = blocking.with_size(rows.select("er_id", F.floor((F.col("er_id") - 1) / 2).cast("string").alias("block_key")))
+    out = {r.er_id: (r.source_ids, r.match_skip_reason) for r in matching.GroupedMatcher(prompts.block_function(ask)).resolve(rows, blocks).collect()}
+    assert out == {1: ([2], None), 3: (None, "error_recovery"), 4: (None, "error_recovery"), 5: (None, "singleton_block")}
+
+
+def test_embeddings_of_a_model(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "er_id long, name string")
+    out = {r.er_id: r.embedding for r in prompts.model_embedding(rows, lambda ts: [[float(len(t)), 0.0] for t in ts], batch=1).collect()}
+    assert out == {1: [1.0, 0.0], 2: None, 3: [0.0, 0.0]}

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 
 import __spark_entry__ as entry
-from kinfold import cli
+from kinfold import cli, queries
 from kinfold.plans.config import ResolveConfig, Settings, bounded, without_fence
 from kinfold.plans.resolve import has_converged, report, resolve
 from kinfold.sources import benchmarks, files
@@ -147,16 +147,57 @@ def plain(frame):
     return sorted(([one(v) for v in r] for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, duck, name):
-    a, b = entry.queries()[name](spark, DATA).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
+    a, b = queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(queries.SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns) and plain(a) == plain(b)
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+def test_queries_without_sql_run(spark, name):
+    assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
 def test_every_query_is_registered_once():
     q = entry.queries()
-    assert set(entry.oracle_sql()) <= set(q)
+    assert set(entry.oracle_sql()) <= set(q) and set(queries.QUERIES) <= set(q)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_semantic_loop_at_every_block_count(spark):
+    """Around one block's size: no row is lost and equal names always meet."""
+    for n in (1, 30, 31, 59, 60):
+        df = spark.createDataFrame([(i, f"name {i % 7}") for i in range(n)], "key long, name string")
+        rows, _ = resolve(df, ResolveConfig(id_field="key", blocking_method="semantic", max_iterations=1, match_threshold=1.0))
+        held = sorted(x for r in rows.collect() for x in [r.er_id, *(r.source_ids or [])])
+        assert held == list(range(n)) and rows.count() == min(n, 7)
+
+
+def test_all_benchmarks_and_download(spark, tmp_path):
+    for name in ("abt-buy", "dblp-acm"):
+        (tmp_path / name).mkdir()
+    with zipfile.ZipFile(tmp_path / "away.zip", "w") as z:
+        z.writestr("Abt.csv", "id,name\n10,a\n20,b\n")
+        z.writestr("Buy.csv", "id,name\n7,a\n")
+        z.writestr("abt_buy_perfectMapping.csv", "idAbt,idBuy\n10,7\n")
+    url = (tmp_path / "away.zip").as_uri()
+    for _ in range(2):  # the second time it is there already
+        assert cli.main(["download", "--input", url, "--name", "abt-buy", "--output", f"{tmp_path}/abt-buy"]) == {"dataset": "abt-buy", "left": 2, "right": 1, "pairs": 1}
+    out = cli.main(["benchmark-all", "--input", str(tmp_path), "--output", f"{tmp_path}/out"])
+    assert out["abt-buy"]["f1_score"] == 1.0 and "error" in out["dblp-acm"]
+    assert set(json.loads((tmp_path / "out/all_results.json").read_text())) == {"abt-buy", "dblp-acm"}
+    with pytest.raises(ValueError, match="unknown"):
+        benchmarks.fetch("no-such", str(tmp_path), url)
+
+
+def test_names_of_two_tables(spark):
+    from kinfold.operators.entities import two_tables
+
+    left = spark.createDataFrame([(0, "L1", "a"), (1, None, None), (2, "L3", "")], "pos long, id string, title string")
+    got = {r.er_id: r.name for r in two_tables(left, left.drop("id"), "pos", name="title").collect()}
+    assert got == {0: "a", 1: "unknown", 2: "unknown", 100_000: "a", 100_001: "unknown", 100_002: "unknown"}
+    named = spark.createDataFrame([(0, "L1", None)], "pos long, id string, title string")
+    assert two_tables(named, named, "pos", name="title").first().name == "L1"

@@ -7,6 +7,8 @@ import threading
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 import pyspark.sql.functions as F
 import pyspark.sql.types as T
@@ -112,9 +114,6 @@ def model_embedding(rows: DataFrame, encode: Callable[[list[str]], Sequence[Sequ
     """Adds `embedding`, unit vectors of a caller's model: Arrow batches, `batch` texts a call. NULL
     texts get NULL, a zero vector stays one. `encode` is pickled to the tasks; a model should be
     opened on its first call."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def embed(parts: pd.Series) -> pd.Series:
         out: list[list[float] | None] = [None] * len(parts)

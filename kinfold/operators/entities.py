@@ -44,13 +44,13 @@ def dense_id(df: DataFrame, out: str = "er_id", order: str | None = None, start:
     held = checkpointed(df.repartitionByRange(F.col(order).asc_nulls_last()).sortWithinPartitions(F.col(order).asc_nulls_last()) if order else df)
     mark = held.withColumn("__m", F.monotonically_increasing_id())
     part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r["p"]: r["n"] for r in mark.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["p"]: r["n"] for r in mark.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
     offsets, total = [], start
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(p, 0)
-    base = F.element_at(F.array(*map(F.lit, offsets)), (part + 1).cast("int")) if offsets else F.lit(start)
-    return mark.withColumn(out, (base + place).cast("bigint")).drop("__m")
+    for p in sorted(sizes):
+        offsets.append((p, total))
+        total += sizes[p]
+    before = df.sparkSession.createDataFrame(offsets, "__p bigint, __before bigint")
+    return mark.withColumn("__p", part.cast("bigint")).join(F.broadcast(before), "__p").withColumn(out, F.col("__before") + place).drop("__m", "__p", "__before")
 
 
 def present(c: str, kind: T.DataType) -> Column:

@@ -29,32 +29,29 @@ def profile_columns(df: DataFrame, approximate: bool = False, samples: int = 5)
     """One row for each column: type, completeness and uniqueness (rounded to 4), sample values, and
     whether it is fit for blocking and for matching.
 
-    Values are counted once for all columns: each row becomes (column, value) rows, equal ones are
-    combined in their task before the only shuffle, and types are voted on by distinct value. Only
-    one row for each column comes to the driver. `approximate` counts distinct values by sketch in
-    one aggregate without a shuffle of values, for columns that are mostly distinct.
+    Each row becomes (column, value) rows, whose counts and votes are added up in their task, so one
+    row for each column leaves it. Distinct values are counted by two 64-bit hashes, combined in
+    tasks too; no value itself is shuffled but the few that may be samples. Only one row for each
+    column comes to the driver. `approximate` counts distinct values by sketch instead.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), _text(c, k).alias("value")) for c, k in kinds.items()])).alias("x")).select("x.field", "x.value") if kinds else None
     if long is None:
         return df.sparkSession.createDataFrame([], PROFILE)
-    looks = votes(F.col("value"))
     present = F.col("value").isNotNull()
     visible = present & (F.trim(F.col("value")) != "")
-    if approximate:
-        weight, distinct = F.lit(1), F.approx_count_distinct("value")
-        rows = long
-    else:
-        rows = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-        weight, distinct = F.col("n"), F.count("value")
-    total = lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0))
-    found = rows.groupBy("field").agg(
-        F.sum(weight).alias("rows"),
-        total(present).alias("present"),
-        total(visible).alias("visible"),
-        distinct.alias("distinct"),
-        *[total(visible & c).alias(f"as_{kind}") for kind, c in looks.items()],
-    ).join(_samples(rows, samples), "field", "left")
+    looks = votes(F.col("value"))
+    found = long.groupBy("field").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(present).alias("present"),
+        F.count_if(visible).alias("visible"),
+        *([F.approx_count_distinct("value").alias("distinct")] if approximate else []),
+        *[F.count_if(visible & c).alias(f"as_{kind}") for kind, c in looks.items()],
+    )
+    if not approximate:
+        hashed = long.where(present).select("field", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(7), "value").alias("h2")).distinct()
+        found = found.join(hashed.groupBy("field").agg(F.count(F.lit(1)).alias("distinct")), "field", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    found = found.join(_samples(long, samples), "field", "left")
     out = []
     for r in found.collect():
         kind = decide(r["field"], r["visible"], {k: r[f"as_{k}"] for k in looks})

@@ -201,3 +201,18 @@ def test_names_of_two_tables(spark):
     assert got == {0: "a", 1: "unknown", 2: "unknown", 100_000: "a", 100_001: "unknown", 100_002: "unknown"}
     named = spark.createDataFrame([(0, "L1", None)], "pos long, id string, title string")
     assert two_tables(named, named, "pos", name="title").first().name == "L1"
+
+
+def test_control_by_rule_and_by_choice(spark):
+    from kinfold.plans.controller import control
+
+    df = spark.createDataFrame([(f"Name {i % 5}", i) for i in range(40)], "title string, n long")
+    state = control(df, config=ResolveConfig(name_field="title", text_fields=[], match_threshold=1.0))
+    assert state["counts"] == [40, 5, 5] and state["steps"] == ["prepare", "block", "match", "block", "match"]
+    seen = []
+    control(df, {"look": lambda s: seen.append(s["table"].count())}, lambda s: "finish" if seen else "look")
+    assert seen == [40]
+    with pytest.raises(ValueError, match="no tool"):
+        control(df, decide=lambda s: "fly")
+    with pytest.raises(RuntimeError):
+        control(df, {"wait": lambda s: None}, lambda s: "wait", most_steps=3)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 import pyspark.sql.functions as F
 
+from kinfold.session import checkpointed
+
 WORD = re.compile(r"\w+")
 
 
@@ -49,18 +50,8 @@ def row_key(*columns: Column) -> list[Column]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names: it outlives any executor.
-
-    Only a local session may lack that setting; it then gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinfold-"))
-    return df.checkpoint()
+    """A reliable checkpoint in the folder that the session names: it outlives any executor."""
+    return checkpointed(df)
 
 
 def slices(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:

@@ -54,6 +54,10 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+#: Letters of text that a worker takes at once: its arrays are many times their size.
+LETTERS = 400_000
+
+
 def slices(sizes: Sequence[int], budget: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about `budget` size together, at least one row each."""
     start = total = 0

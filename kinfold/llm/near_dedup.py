@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 import pyspark.sql.functions as F
 
-from kinfold.llm.common import cut, numbered, pick, position, row_key, slices, word_hashes, lean
+from kinfold.llm.common import LETTERS, cut, numbered, pick, position, row_key, slices, word_hashes, lean
 from kinfold.operators.graph import connected_components
 
 BUCKETS = 128
@@ -125,7 +125,7 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, j in slices([len(t) for t in texts], 2_000_000):
+            for i, j in slices([len(t) for t in texts], LETTERS):
                 h, row = shingles(texts[i:j], size)
                 reg = registers(h, row, j - i)
                 full = np.flatnonzero((reg != EMPTY).any(axis=1))
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column("text").to_pylist()
-            for i, j in slices([len(x) for x in t], 2_000_000):
+            for i, j in slices([len(x) for x in t], LETTERS):
                 h, row = shingles(t[i:j], size)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 cells = [np.unique(h[ends[k] : ends[k + 1]]).tobytes() for k in range(j - i)]

@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from kinfold.llm.common import free_name, pick, slices, lean
+from kinfold.llm.common import LETTERS, free_name, pick, slices, lean
 
 BAR = "▁"
 TAKEN = "\udfff"  # stands for a BAR of the text itself, so that it isn't taken for a space; no text has it
@@ -481,7 +481,7 @@ def segment(docs: DataFrame, model_path: str, text: str = "text", doc_id: str =
         lattice = Lattice(model_path, theta)
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices([len(t or "") for t in texts], 1_000_000):
+            for i, j in slices([len(t or "") for t in texts], LETTERS):
                 own = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), *[own.column(c) for c in extra], *part(lattice, keys[i:j], texts[i:j])], names=["doc_id", *extra, "n_pieces", "exact", "samples"])
 

@@ -262,6 +262,62 @@ def test_items_of_any_length_and_text_ids(spark):
     assert brute <= got and {x for x in got if x[0][0] == "n"} == set()
 
 
+def reworded(n_items=24, n_docs=600):
+    """Texts on 12 topics, whose concepts have two words each of the same company; items, and texts that
+    say them with each concept's other word and their last sentence as it is."""
+    r = random.Random(21)
+    fill, pair = [f"f{k}" for k in range(40)], lambda t, c: (f"t{t}c{c}a", f"t{t}c{c}b")
+    text = lambda t, n: [r.choice(fill) if r.random() < 0.5 else r.choice(pair(t, r.randrange(25))) for _ in range(n)]
+    items, rows, want = [], [(d, " ".join(text(d % 12, 120))) for d in range(n_docs)], set()
+    for i in range(n_items):
+        cs = r.sample(range(25), 20)
+        said = [[w for c in cs[:17] for w in (fill[(7 * c + i) % 40], pair(i % 12, c)[x])] for x in (0, 1)]
+        last = " ".join(pair(i % 12, c)[0] for c in cs[17:])
+        items.append((i, f"{' '.join(said[0])}. {last}."))
+        rows.append((10_000 + i, f"{' '.join(text((i + 5) % 12, 60))} {' '.join(said[1])}. {last}. {' '.join(text((i + 5) % 12, 60))}"))
+        want.add((10_000 + i, i))
+    return items, rows, want
+
+
+def test_the_latent_space_finds_items_in_other_words(spark):
+    items, rows, want = reworded()
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    model = dec.Decontaminator(d, b, rank=12)
+    found = {(x.doc_id, x.item_id): x for x in dec.leaks(d, model).collect()}
+    only_words = dec.Decontaminator(d, b, rank=12, near=2.0)
+    by_words = {(x.doc_id, x.item_id) for x in dec.leaks(d, only_words).collect()}
+    assert not by_words & want and by_words <= set(found)
+    assert len(want & set(found)) >= 0.9 * len(want) and {i for i, _ in found} <= {i for i, _ in want}
+    assert all(found[k].cosine >= model.near and found[k].kind == "paraphrase" for k in want & set(found))
+    assert {x.doc_id for x in dec.drop_leaks(d, model).collect()} == {i for i, _ in rows} - {i for i, _ in found}
+
+
+def test_latent_windows_against_every_window(spark):
+    """At least 0.9 of the leaks that a search of each window of an item's own length finds."""
+    items, rows, _ = reworded()
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    model = dec.Decontaminator(d, b, rank=12)
+    index = next(model.indexes())
+    (x,), space, known = index.items, model.space, model.space.terms()
+    brute = set()
+    for d_id, t in rows[-60:]:
+        h, n = dec.word_hashes([t])
+        vectors = space.vectors[space.places(known, h)].astype(float)
+        region = dec.Terms(x.size, x.terms).places(h)
+        for i, seq in enumerate(x.seqs):
+            for s in range(max(1, len(h) - len(seq) + 1)):
+                v = vectors[s : s + len(seq)].sum(axis=0)
+                if v @ x.latent[i] < model.near * np.linalg.norm(v):
+                    continue
+                got = dec._leaks(x, iter([(0, i, 0.0, s, min(len(h), s + len(seq)), region, 0, len(h))]), [dec.bit_masks(q) for q in x.seqs], [dec.bit_masks(q) for q in x.answers], model.copy, model.like, model.answered)
+                if got:
+                    brute.add((d_id, i))
+                    break
+    state = {}
+    found = {(d_id, i) for d_id, t in rows[-60:] for _, i in index.found([t], state)}
+    assert len(brute) > 15 and len(brute & found) >= 0.9 * len(brute)
+
+
 def test_a_large_benchmark_is_cut_in_parts(spark):
     items, rows, want = planted(40, 80)
     d, b = docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")

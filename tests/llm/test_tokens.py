@@ -318,6 +318,40 @@ def test_latent_windows_against_every_window(spark):
     assert len(brute) > 15 and len(brute & found) >= 0.9 * len(brute)
 
 
+def test_searches_look_only_where_a_leak_can_be(spark, monkeypatch):
+    """Every region with enough of an item's words in order lies within a stretch that is searched, and
+    no more than a tenth of the words of texts without leaks are looked up in the latent space."""
+    items, rows, want = planted(20, 40)
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    model = dec.Decontaminator(d, b)
+    (x,) = next(model.indexes()).items
+    at, n = dec.Terms(x.size, x.terms).tokens([t for _, t in rows])
+    inside = {}
+    for s in x.stretches(at, n):
+        for i, r, low, high, first in zip(s.item.tolist(), s.row.tolist(), s.start.tolist(), s.end.tolist(), s.first.tolist(), strict=True):
+            inside.setdefault((i, r), []).append((low - first, high - first))
+    regions, one = 0, lambda v: np.array([v])
+    for r, part in enumerate(np.split(at, np.cumsum(n)[:-1])):
+        for i, seq in enumerate(x.seqs):
+            for s in range(0, max(1, len(part) - len(seq) + 1), 3):
+                low, high = (int(v[0]) for v in x.region(one(i), one(s), one(min(len(part), s + len(seq))), one(0), one(len(part))))
+                if dec.lcs(dec.bit_masks(seq), len(seq), part[low:high].tolist()) >= model.like * len(seq):
+                    regions += 1
+                    assert any(a <= low and high <= e for a, e in inside.get((i, r), ()))
+    assert regions > len(want)
+
+    r = random.Random(3)
+    vocab = [f"v{k}" for k in range(2_000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    clean, items = [text(200) for _ in range(80)], [(i, text(38)) for i in range(100)]
+    d, b = docs(spark, list(enumerate(clean))), spark.createDataFrame(items, "item_id bigint, text string")
+    index = next(dec.Decontaminator(d, b).indexes())
+    looked, places = [], dec.Space.places
+    monkeypatch.setattr(dec.Space, "places", lambda self, known, h: looked.append(len(h)) or places(self, known, h))
+    assert index.found(clean, {}) == {} and sum(looked) <= 0.1 * 80 * 200
+    assert {k for k, _ in index.found([f"{text(50)} {t}" for _, t in items], {})} == set(range(100)) and sum(looked) >= 100 * 17
+
+
 def test_a_large_benchmark_is_cut_in_parts(spark):
     items, rows, want = planted(40, 80)
     d, b = docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")

@@ -117,22 +117,79 @@ def parsed_edges(df: DataFrame, text: str, schema: T.DataType | str, original: s
     return df.withColumn("edges", F.coalesce(F.from_json(text, schema), F.col(original)))
 
 
-def resolve_edges(edges: DataFrame, resolver: object, schema: str) -> DataFrame:
+def resolve_edges(edges: DataFrame, resolver: object, schema: str, at_once: bool = False) -> DataFrame:
     """Groups of several edges go to `resolver` (pandas frame to pandas frame), which may fail: the
-    group then passes as it was. Edges that are alone in their key don't go to Python at all."""
+    group then passes as it was. Edges that are alone in their key don't go to Python at all.
+
+    Rows come sorted by their key, so groups are cut from batches of many, and one that a batch's end
+    cuts waits for its rest. A group costs its call, no transfer of its own. With `at_once` there is
+    one call for many whole groups, which `__group` tells apart; the answer has that column too.
+    Groups that it leaves out pass as they were, and if the call fails, each group is asked alone.
+    """
     k = edge_keys(edges)
-    keyed = edges.select("*", *[c.alias(f"__{n}") for n, c in k.items()])
-    n = F.count(F.lit(1)).over(Window.partitionBy("__src", "__dst", "__type"))
-    sized = keyed.withColumn("__n", n)
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        own = pdf[[c for c in pdf.columns if not c.startswith("__")]]
-        try:
-            out = resolver(own)
-            return out if len(out) and list(out.columns) == list(own.columns) else own
-        except Exception:  # noqa: BLE001 - the contract: a failed group is passed through
-            return own
-
-    alone = sized.where("__n = 1").select(*edges.columns)
-    many = sized.where("__n > 1").drop("__n").groupBy("__src", "__dst", "__type").applyInPandas(run, schema)
-    return alone.unionByName(many)
+    own, keys = edges.columns, [f"__{n}" for n in k]
+    # A number or truth value becomes another type in pandas by NULLs that other groups have, so these are sent apart.
+    zero = {f.name: F.lit(False) if isinstance(f.dataType, T.BooleanType) else F.lit(0).cast(f.dataType) for f in edges.schema.fields if f.nullable and isinstance(f.dataType, T.IntegralType | T.BooleanType)}
+    apart = list(zero)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    sized = edges.select("*", *[c.alias(f"__{n}") for n, c in k.items()]).withColumn("__n", n)
+
+    def typed(pdf, several):  # noqa: ANN001, ANN202
+        out = pdf[own].copy()
+        for c in apart:
+            gone = pdf[f"__no_{c}"]
+            if gone.any():
+                out[c] = out[c].astype(object if several or out[c].dtype == bool else float).mask(gone, None)
+        out.index = range(len(out))
+        return out
+
+    def solved(pdf, starts):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        ends = [*starts[1:], len(pdf)]
+        if at_once:
+            try:
+                asked = typed(pdf, True)
+                asked["__group"] = np.repeat(np.arange(len(starts)), np.subtract(ends, starts))
+                out = resolver(asked.copy())
+                if set(out.columns) != set(asked.columns):
+                    raise ValueError("other columns than those of the edges and __group")
+                yield out[own]
+                yield asked[~asked["__group"].isin(out["__group"])][own]
+                return
+            except Exception:  # noqa: BLE001 - each group alone, then
+                pass
+        found = {}
+        for i, (a, b) in enumerate(zip(starts, ends)):
+            group = typed(pdf.iloc[a:b], False)
+            try:
+                out = resolver(group.assign(__group=i) if at_once else group.copy())
+                out = out[own] if at_once else out
+                out = out if len(out) and list(out.columns) == own else group
+            except Exception:  # noqa: BLE001 - the contract: a failed group is passed through
+                out = group
+            found.setdefault(tuple(out.dtypes), []).append(out)
+        yield from (pd.concat(same, ignore_index=True) for same in found.values())
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if not rows or rows < held[0]["__n"].iloc[0]:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            sizes, starts, at = pdf["__n"].tolist(), [], 0
+            while at < rows and at + sizes[at] <= rows:
+                starts.append(at)
+                at += sizes[at]
+            yield from solved(pdf.iloc[:at], starts)
+            held, rows = ([pdf.iloc[at:].copy()], rows - at) if at < rows else ([], 0)
+
+    alone = sized.where("__n = 1").select(*own)
+    sent = [F.coalesce(F.col(f"`{c}`"), zero[c]).alias(c) if c in zero else F.col(f"`{c}`") for c in own]
+    many = sized.where("__n > 1").sortWithinPartitions(*keys).select(*sent, *[F.col(f"`{c}`").isNull().alias(f"__no_{c}") for c in apart], "__n")
+    return alone.unionByName(many.mapInPandas(run, schema))

@@ -788,13 +788,12 @@ def parsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of several edges go to a resolver's function, which merges each to one; others don't."""
 
-    def one(pdf):  # noqa: ANN001, ANN202
-        out = pdf.iloc[:1].copy()
-        out["kind"], out["n"] = "merged", len(pdf)
-        return out
+    def each(pdf):  # noqa: ANN001, ANN202
+        size = pdf.groupby("__group")["n"].transform("size")
+        return pdf.assign(kind="merged", n=size).drop_duplicates("__group")
 
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") % 10).alias("dst"), F.col("l_returnflag").alias("kind"), F.lit(1).cast("bigint").alias("n"))
-    return merge.resolve_edges(e, one, "src bigint, dst bigint, kind string, n bigint").select("src", "dst", F.col("kind").alias("type"), "n")
+    return merge.resolve_edges(e, each, "src bigint, dst bigint, kind string, n bigint", at_once=True).select("src", "dst", F.col("kind").alias("type"), "n")
 
 
 @query("skip_split", """

@@ -42,12 +42,24 @@ def has_converged(reduction_pct: float, threshold: float) -> bool:
 
 
 def hashed_embedding(rows: DataFrame, fields: list[str] | None = None, size: int = 64) -> DataFrame:
-    """A vector of the text's letter trigrams by hashed signs: the default without a model, all in the JVM."""
-    text = F.lower(embedding_text(fields))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)))
-    h = F.transform(grams, lambda g: F.xxhash64(g))
-    dims = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(F.pmod(x, F.lit(size)) == d, F.when(x > 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return rows.withColumn("embedding", dims)
+    """A vector of the text's letter trigrams by hashed signs: the default without a model, all in the JVM.
+
+    A value that a function inside reads again and again is bound as the only element of an array,
+    as Spark works an outer expression out anew for each element.
+    """
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+    starts = lambda t: F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))
+    hashes = lambda t: F.transform(starts(t), lambda i: F.xxhash64(F.substr(t, i, F.lit(3))))
+    signed = lambda x: (F.pmod(x, F.lit(size)) + 1) * F.when(x > 0, 1).otherwise(-1)
+    n_of = lambda marks, m: F.size(marks) - F.size(F.array_remove(marks, m))
+    dims = lambda marks: F.transform(F.sequence(F.lit(1), F.lit(size)).cast("array<bigint>"), lambda d: (n_of(marks, d) - n_of(marks, -d)).cast("double"))
+    marks = bound(F.lower(embedding_text(fields)), lambda t: F.transform(hashes(t), signed))
+    return rows.withColumn("embedding", bound(marks, dims))
+
+
+def spread(rows: DataFrame, each: int = 20_000) -> DataFrame:
+    """Rows in parts of about `each`, and enough of them for all cores: a small file comes as one part."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // each), "er_id")
 
 
 def default_blocker(config: ResolveConfig) -> Blocker:
@@ -55,7 +67,7 @@ def default_blocker(config: ResolveConfig) -> Blocker:
         if config.blocking_method == "name":
             return name_blocks(rows)
         if config.blocking_method == "semantic":
-            embedded = rows if "embedding" in rows.columns else hashed_embedding(rows, config.blocking_fields)
+            embedded = rows if "embedding" in rows.columns else checkpointed(hashed_embedding(spread(rows), config.blocking_fields).select("er_id", "embedding"))
             return vector_blocks(embedded, target=config.target_block_size, iteration=iteration)
         raise ValueError(f"unknown blocking method {config.blocking_method!r}")
 

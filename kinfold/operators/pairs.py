@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 import pyspark.sql.functions as F
 
 
+def unordered(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs with the lower id first, as often as they come; pairs of one, or with NULL, go."""
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b")))
+
+
 def normalized(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Unordered pairs once each, the lower id first; pairs of one, or with NULL, go."""
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b"))).distinct()
+    return unordered(pairs, a, b).distinct()
 
 
 def within(rows: DataFrame, keys: list[str], id_column: str = "er_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 import pyspark.sql.functions as F
 
 from kinfold.operators.entities import RIGHT_OFFSET, TWO_TABLE_NAMES, dense_id, name_column, to_entities
-from kinfold.operators.metrics import pair_metrics
+from kinfold.operators.metrics import directed_metrics
 from kinfold.sources.files import delimited, delimited_in_zip, read_truth
 
 #: File names inside the public archives: left table, right table, mapping, the mapping's columns.
@@ -40,7 +40,20 @@ class TwoTables:
         return side(self.left, False).unionByName(side(self.right, True))
 
     def evaluate(self, predicted: DataFrame, cross_source_only: bool = False) -> DataFrame:
-        return pair_metrics(predicted, self.truth, cross_source_only, RIGHT_OFFSET)
+        """Rates of predicted pairs (a, b), in any order. A left table of more than RIGHT_OFFSET rows
+        shares ids with the right one: a pair that can be read as (left, right) as it stands is."""
+        last = self.left.agg(F.greatest(F.max("pos") + 1, F.lit(RIGHT_OFFSET)).alias("__end"))
+
+        def sided(df: DataFrame) -> DataFrame:
+            """Pairs of both tables as (left, right), others with the lower id first, told apart by `side`."""
+            across = lambda x, y: (F.col(x) < F.col("__end")) & (F.col(y) >= RIGHT_OFFSET)
+            kind = F.when(across("a", "b"), 1).when(across("b", "a"), 2).otherwise(0)
+            k = df.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").crossJoin(F.broadcast(last)).select("a", "b", kind.alias("k"))  # one row
+            a, b = (F.when(F.col("k") == 1, F.col(x)).when(F.col("k") == 2, F.col(y)).otherwise(f("a", "b")) for x, y, f in (("a", "b", F.least), ("b", "a", F.greatest)))
+            return k.select(a.alias("a"), b.alias("b"), (F.col("k") > 0).alias("side")).where("side OR a < b")
+
+        p = sided(predicted)
+        return directed_metrics(p.where("side") if cross_source_only else p, sided(self.truth), ["side"])
 
     def sample_right(self, n: int, seed: int = 42) -> DataFrame:
         """All right rows that have a match, and others up to n rows, chosen by hash."""

@@ -46,9 +46,9 @@ def normalize_name(name: Column, exact: bool = False) -> Column:
     All in the JVM for Latin letters with marks; `exact` adds an Arrow batch step that decomposes
     any script.
     """
-    plain = _unmarked(name) if exact else F.regexp_replace(F.translate(name, _FROM, _TO), r"\p{M}+", "")
-    spaced = F.regexp_replace(F.lower(plain), r"(?U)[^\w\s]", " ")
-    return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    # Letters of ASCII have no marks; what is no word character is a space or becomes one, so a run is one match.
+    plain = _unmarked(name) if exact else F.when(name.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(name, _FROM, _TO), r"\p{M}+", "")).otherwise(name)
+    return F.trim(F.regexp_replace(F.lower(plain), r"(?U)\W+", " "))
 
 
 def basename(name: Column) -> Column:
